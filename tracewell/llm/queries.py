@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .op07_bpe import op7_bpe
 from .op09_simhash import op9_simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op7_bpe": op7_bpe,
     "op9_simhash": op9_simhash,
 }
 

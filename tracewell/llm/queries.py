@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .op06_tokenfile import op6_tokenfile
 from .op07_bpe import op7_bpe
 from .op09_simhash import op9_simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_tokenfile": op6_tokenfile,
     "op7_bpe": op7_bpe,
     "op9_simhash": op9_simhash,
 }

@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .op06_tokenfile import op6_tokenfile
 from .op07_bpe import op7_bpe
+from .op08_lines import op8_lines
 from .op09_simhash import op9_simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_tokenfile": op6_tokenfile,
     "op7_bpe": op7_bpe,
+    "op8_lines": op8_lines,
     "op9_simhash": op9_simhash,
 }
 

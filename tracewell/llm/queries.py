@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .op02_langid import op2_langid
 from .op06_tokenfile import op6_tokenfile
 from .op07_bpe import op7_bpe
 from .op08_lines import op8_lines
 from .op09_simhash import op9_simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_langid": op2_langid,
     "op6_tokenfile": op6_tokenfile,
     "op7_bpe": op7_bpe,
     "op8_lines": op8_lines,

@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import op03_topk
 from .op02_langid import op2_langid
+from .op03_topk import op3_topk
 from .op06_tokenfile import op6_tokenfile
 from .op07_bpe import op7_bpe
 from .op08_lines import op8_lines
@@ -14,10 +16,13 @@ from .op09_simhash import op9_simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_langid": op2_langid,
+    "op3_topk": op3_topk,
     "op6_tokenfile": op6_tokenfile,
     "op7_bpe": op7_bpe,
     "op8_lines": op8_lines,
     "op9_simhash": op9_simhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_topk": op03_topk.ORACLE,
+}

@@ -13,6 +13,7 @@ from .op06_tokenfile import op6_tokenfile
 from .op07_bpe import op7_bpe
 from .op08_lines import op8_lines
 from .op09_simhash import op9_simhash
+from .op10_ann import op10_ann
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_langid": op2_langid,
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_bpe": op7_bpe,
     "op8_lines": op8_lines,
     "op9_simhash": op9_simhash,
+    "op10_ann": op10_ann,
 }
 
 ORACLE_SQL: dict[str, str] = {

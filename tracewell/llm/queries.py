@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import op03_topk
+from .op01_secrets import op1_secrets
 from .op02_langid import op2_langid
 from .op03_topk import op3_topk
 from .op06_tokenfile import op6_tokenfile
@@ -16,6 +17,7 @@ from .op09_simhash import op9_simhash
 from .op10_ann import op10_ann
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secrets": op1_secrets,
     "op2_langid": op2_langid,
     "op3_topk": op3_topk,
     "op6_tokenfile": op6_tokenfile,

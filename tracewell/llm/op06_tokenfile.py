@@ -11,8 +11,10 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -23,7 +25,13 @@ from pyspark.sql import functions as F
 from .common import materialise, table
 
 MAGIC = 0x38534D54
-BLOCK_IDS, STRIDE, KEPT_WORDS = 65_536, 1024, 500_000
+BLOCK_IDS, STRIDE, KEPT_WORDS = 65_536, 1024, 600_000
+#: Fixed value: the pre-tokenizer's pattern that `separable` knows; and the same for lower-case Latin-1, whose characters
+#: lower-casing changes one by one and composition leaves as they are.
+SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+_L, _N, _S = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\\t-\\r \x85\xa0"
+LATIN = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
+LETTERS = re.compile(f"[{_L}]+")
 #: Fixed values of the format: ids in a word and bits of each, by selector; the last is the escape.
 SELECTORS = [(60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
 
@@ -34,14 +42,22 @@ def pack(ids: np.ndarray) -> bytes:
     n = len(ids)
     if n and int(ids.max()) >= 1 << 60:
         raise ValueError("an id has over 60 bits")
-    width = np.searchsorted(np.uint64(1) << np.array([b for _, b in SELECTORS], np.uint64), ids, side="right").astype(np.uint8)
+    width = np.zeros(n, np.uint8)
+    for _, bits in SELECTORS[:-1]:
+        width += ids >= np.uint64(1 << bits)
     choice = np.full(n, len(SELECTORS) - 1, np.uint8)
-    for s in range(len(SELECTORS) - 1, -1, -1):  # widest ids first: the most ids that fit win
+    widest, done = {1: width}, 1  # the widest id among the next 1, 2, 4 ... ids
+    while 2 * done <= min(n, SELECTORS[0][0]):
+        widest[2 * done] = np.maximum(widest[done][: n - 2 * done + 1], widest[done][done:])
+        done *= 2
+    for s in range(len(SELECTORS) - 2, -1, -1):  # widest ids first: the most ids that fit win
         count = SELECTORS[s][0]
-        if count > n:
-            continue
-        fits = np.concatenate(([0], np.cumsum(width > s, dtype=np.int32)))
-        choice[: n - count + 1][fits[count:] == fits[:-count]] = s
+        if count <= n:
+            w = widest[1 << (count.bit_length() - 1)]
+            fits = np.maximum(w[: n - count + 1], w[count - (1 << (count.bit_length() - 1)) :][: n - count + 1]) <= s
+            if not fits.any():
+                break  # a narrower width for more ids can't fit either
+            choice[: n - count + 1][fits] = s
     step = np.array([c for c, _ in SELECTORS], np.int64)[choice].tolist()
     at, starts = 0, []
     add = starts.append
@@ -86,6 +102,14 @@ def unpack_words(words: np.ndarray, n: int, offsets: np.ndarray | None = None) -
     return out
 
 
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 def separable(spec: dict) -> bool:
     """Whether a text's ids are those of its parts between spaces and line ends, one after the other: the pre-tokenizer keeps
     no white space, no added token strips it, and the normalizer works within each part."""
@@ -96,44 +120,85 @@ def separable(spec: dict) -> bool:
         and split.get("type") == "Split"
         and split.get("behavior") == "Removed"
         and bool(split.get("invert"))
-        and split.get("pattern", {}).get("Regex", "").endswith("|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+")
+        and split.get("pattern", {}).get("Regex") == SPLIT
         and not any(t["lstrip"] or t["rstrip"] or t["normalized"] or t["single_word"] or any(c.isspace() for c in t["content"]) for t in spec.get("added_tokens", []))
         and spec.get("post_processor") is None
         and spec["model"].get("dropout") is None
     )
 
 
+@lru_cache(maxsize=2)
 def encoder(spec_json: str) -> Callable[[list[str | None]], list[np.ndarray]]:
-    """A function from texts to their ids by the tokenizers library, without special tokens added.
+    """A function from texts to their ids by the tokenizers library, without special tokens added; a worker keeps it between tasks.
 
-    Where the tokenizer is separable, each distinct part is encoded once and kept, KEPT_WORDS at most.
+    Where the tokenizer is separable, each distinct part is encoded once and kept, in two generations of KEPT_WORDS at most.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_str(spec_json)
+    spec, tokenizer = json.loads(spec_json), Tokenizer.from_str(spec_json)
     batch = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
-    if not separable(json.loads(spec_json)):
+    if not separable(spec):
         return lambda texts: [np.array(e.ids, "<u4") for e in batch([t or "" for t in texts], add_special_tokens=False)]
 
-    lower = any(k["type"] == "Lowercase" for k in json.loads(spec_json)["normalizer"]["normalizers"])
-
-    class Parts(dict):
-        def __missing__(self, part: str) -> bytes:
-            if len(self) >= KEPT_WORDS:
-                self.clear()
-            # A full stop or comma after an ASCII letter is a word of its own; ASCII letters are lowered one by one.
-            if len(part) > 1 and part[-1] in ".," and part[-2].isascii() and part[-2].isalpha() and "<|" not in part:
-                ids = self[part[:-1]] + self[part[-1]]
-            elif lower and part.isascii() and "<|" not in part and (low := part.lower()) != part:
-                ids = self[low]
-            else:
-                ids = np.array(tokenizer.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
-            self[part] = ids
-            return ids
-
-    get = Parts().__getitem__
-    return lambda texts: [np.frombuffer(b"".join(map(get, t.replace("\n", " ").split(" "))) if t else b"", "<u4") for t in texts]
+    lower = any(k["type"] == "Lowercase" for k in spec["normalizer"]["normalizers"])
+    marks = [(t["content"], t["id"]) for t in spec["added_tokens"]]
+    suffix, cut = spec["model"].get("end_of_word_suffix"), spec["pre_tokenizer"]["pretokenizers"]
+    bare = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, *cut[1:]]}}))
+    ends = np.zeros(tokenizer.get_vocab_size() + len(marks), bool)
+    ends[[i for word, i in spec["model"]["vocab"].items() if suffix and word.endswith(suffix)]] = True
+    find, single_word = LATIN.findall, LETTERS.fullmatch
+    known: dict[str, bytes] = {}
+    older: dict[str, bytes] = {}
+
+    def encode_parts(parts: list[str]) -> None:
+        """Parts joined by an added token are encoded at once and its id parts them again; one by one where a part holds it itself."""
+        if marks:
+            mark, mark_id = marks[0]
+            ids = np.array(batch([mark.join(parts)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(ids == mark_id)
+            if len(cuts) == len(parts) - 1:
+                raw, cuts = ids.tobytes(), (4 * cuts).tolist()
+                known.update(zip(parts, [raw[a:z] for a, z in zip([0, *(c + 4 for c in cuts)], [*cuts, len(raw)])]))
+                return
+        known.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(parts, batch(parts, add_special_tokens=False)))
+
+    def encode_plain(words: list[str]) -> None:
+        """Runs of lower-case Latin-1 letters, which the normalizer leaves as they are and the pre-tokenizer leaves whole: the
+        same model without both; the ids that end a word part them."""
+        ids = np.array(bare.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        cuts = 4 * (np.flatnonzero(ends[ids]) + 1)
+        if len(cuts) != len(words):
+            return encode_parts(words)
+        raw, cuts = ids.tobytes(), cuts.tolist()
+        known.update(zip(words, [raw[a:z] for a, z in zip([0, *cuts], cuts)]))
+
+    def parts_of(text: str) -> list[str]:
+        if suffix and lower and "<|" not in text and _latin(text):
+            return find(text.lower())
+        return text.replace("\n", " ").split(" ")
+
+    def encode(texts: list[str | None]) -> list[np.ndarray]:
+        nonlocal older
+        split = [parts_of(t or "") for t in texts]
+        found = [list(map(known.get, parts)) for parts in split]
+        gaps = [[i for i, ids in enumerate(f) if ids is None] if None in f else [] for f in found]
+        if missing := {parts[i] for parts, gap in zip(split, gaps) for i in gap}:
+            if len(known) > KEPT_WORDS:
+                older = dict(known)
+                known.clear()
+            new = [p for p in missing if p not in older]
+            known.update((p, older[p]) for p in missing.difference(new))
+            if single := [p for p in new if single_word(p)]:
+                encode_plain(single)
+            if rest := [p for p in new if p not in known]:
+                encode_parts(rest)
+            for parts, f, gap in zip(split, found, gaps):
+                for i in gap:
+                    f[i] = known[parts[i]]
+        return [np.frombuffer(b"".join(f), "<u4") for f in found]
+
+    return encode
 
 
 def write_blocks(docs: DataFrame, tokenizer_json: str, end_id: int, text: str = "text", id_col: str = "doc_id") -> DataFrame:

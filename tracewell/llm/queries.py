@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op03_topk, op05_chat
+from . import op03_topk, op04_mixing, op05_chat
 from .op01_secrets import op1_secrets
 from .op02_langid import op2_langid
 from .op03_topk import op3_topk
+from .op04_mixing import op4_mixing
 from .op05_chat import op5_chat
 from .op06_tokenfile import op6_tokenfile
 from .op07_bpe import op7_bpe
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_langid": op2_langid,
     "op3_topk": op3_topk,
+    "op4_mixing": op4_mixing,
     "op5_chat": op5_chat,
     "op6_tokenfile": op6_tokenfile,
     "op7_bpe": op7_bpe,
@@ -31,5 +33,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op3_topk": op03_topk.ORACLE,
+    "op4_mixing": op04_mixing.ORACLE,
     "op5_chat": op05_chat.ORACLE,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ASCII_SPACE = "\\x09-\\x0D\\x20"
@@ -47,6 +47,20 @@ def materialise(df: DataFrame, tag: str, made: list[str] | None = None) -> DataF
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Buckets of a hash: a set of them may always be broadcast.
+BUCKETS = 1 << 20
+
+
+def bucket(hashed: Column) -> Column:
+    return F.coalesce(F.pmod(hashed, F.lit(BUCKETS)), F.lit(-1))
+
+
+def buckets(hashes: DataFrame, hashed: str) -> DataFrame:
+    """The distinct column `bucket` of a column of hashes: BUCKETS + 1 numbers at most, so that it's broadcast at any size. Rows of a wide
+    table that are in none of them stay out of a shuffle that only the others are needed for."""
+    return F.broadcast(hashes.select(bucket(F.col(hashed)).alias("bucket")).distinct())
+
+
 def discard(spark: SparkSession, paths: list[str]) -> None:
     """Deletes tables that `materialise` wrote and that nothing reads any more."""
     jvm = spark.sparkContext._jvm

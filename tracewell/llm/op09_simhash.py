@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected, materialise, table
+from .common import bucket, buckets, connected, materialise, table
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 SEGMENTS, WIDTH, BITS = 4, 16, 3
@@ -97,5 +97,22 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     return own.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def first_of_each(docs: DataFrame, text: str = "text", id_col: str = "doc_id", words: int = 3) -> DataFrame:
+    """The rows and columns of docs, one of each group of near duplicates: the one whose id is the group's smallest; of rows that repeat
+    an id and its text, one. Rows with a null id stay where nothing but null ids is in their group.
+
+    Only rows in the hash buckets of ids that go or repeat are joined; all others pass as they are read.
+    """
+    groups = materialise(near_duplicates(docs, text, id_col, words), "simhash-groups")
+    counted = groups.groupBy("doc_id").agg(F.count("*").alias("n"), F.max((~F.col("doc_id").eqNullSafe(F.col("component_id"))).cast("int")).alias("goes"))
+    marked = materialise(counted.where("n > 1 or goes = 1").select(F.col("doc_id").alias("_id"), F.xxhash64("doc_id").alias("_hash"), "goes"), "simhash-marked")
+    source = docs.select(*docs.columns, bucket(F.xxhash64(F.col(id_col).cast("long"))).alias("_bucket"))
+    met = buckets(marked, "_hash")
+    others = source.join(met, F.col("_bucket") == F.col("bucket"), "left_anti").select(*docs.columns)
+    joined = source.join(met, F.col("_bucket") == F.col("bucket"), "left_semi").select(*docs.columns)
+    left = joined.join(marked.where("goes = 1"), F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left_anti")
+    return others.unionByName(left.dropDuplicates([id_col, text]))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))

@@ -1 +1 @@
-"""See the package README for what lives here."""
+"""Scalar functions as Columns, and the template miner."""

@@ -1 +1 @@
-"""See the package README for what lives here."""
+"""Relational, graph and routing operators over DataFrames."""

@@ -1 +1 @@
-"""See the package README for what lives here."""
+"""Compositions: call-graph pipeline, model-backed extraction, catalogue, jobs."""

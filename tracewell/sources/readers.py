@@ -75,12 +75,12 @@ def key_value_lines(spark: SparkSession, path: str, separator: str = "\t") -> Da
 
 def whole_texts(spark: SparkSession, path: str) -> DataFrame:
     """(path, value): one row for each file."""
-    return spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
 
 
 def json_map(spark: SparkSession, path: str) -> DataFrame:
     """(key, value) of files that are one JSON object of strings; a file that can't be read gives no rows."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     return whole.select(F.explode(F.from_json("value", "map<string,string>")).alias("key", "value"))
 
 
@@ -125,7 +125,7 @@ def xml_properties(spark: SparkSession, path: str) -> DataFrame:
 
 def topology(spark: SparkSession, path: str, most: int = 16) -> DataFrame:
     """(name, parent, depth) of a JSON network tree of objects with `name` and `children`."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.parse_json("value").alias("node"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth"))
+    whole = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("node"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth"))
     out, level = None, whole
     for depth in range(most):
         rows = level.select(F.variant_get("node", "$.name", "string").alias("name"), "parent", "depth")

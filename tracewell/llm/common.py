@@ -13,6 +13,7 @@ ASCII_SPACE = "\\x09-\\x0D\\x20"
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """The named columns of a table; only Spark opens the path, which may lie in any store it reads."""
+    bounded(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
 
@@ -34,12 +35,19 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def bounded(spark: SparkSession) -> None:
+    """Arrow batches of at most ARROW_BYTES: rows with very long texts would otherwise fill a worker by the thousand."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) > ARROW_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+
 def materialise(df: DataFrame, tag: str, made: list[str] | None = None) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: cuts the lineage, survives lost executors.
 
     made, if given, gets the path, for `discard`.
     """
     spark = df.sparkSession
+    bounded(spark)
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     if made is not None:
@@ -47,6 +55,8 @@ def materialise(df: DataFrame, tag: str, made: list[str] | None = None) -> DataF
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of an Arrow batch.
+ARROW_BYTES = 8 << 20
 #: Buckets of a hash: a set of them may always be broadcast.
 BUCKETS = 1 << 20
 
@@ -56,9 +66,9 @@ def bucket(hashed: Column) -> Column:
 
 
 def buckets(hashes: DataFrame, hashed: str) -> DataFrame:
-    """The distinct column `bucket` of a column of hashes: BUCKETS + 1 numbers at most, so that it's broadcast at any size. Rows of a wide
+    """The distinct column `_hash_bucket` of a column of hashes: BUCKETS + 1 numbers at most, so that it's broadcast at any size. Rows of a wide
     table that are in none of them stay out of a shuffle that only the others are needed for."""
-    return F.broadcast(hashes.select(bucket(F.col(hashed)).alias("bucket")).distinct())
+    return F.broadcast(hashes.select(bucket(F.col(hashed)).alias("_hash_bucket")).distinct())
 
 
 def discard(spark: SparkSession, paths: list[str]) -> None:

@@ -108,8 +108,8 @@ def first_of_each(docs: DataFrame, text: str = "text", id_col: str = "doc_id", w
     marked = materialise(counted.where("n > 1 or goes = 1").select(F.col("doc_id").alias("_id"), F.xxhash64("doc_id").alias("_hash"), "goes"), "simhash-marked")
     source = docs.select(*docs.columns, bucket(F.xxhash64(F.col(id_col).cast("long"))).alias("_bucket"))
     met = buckets(marked, "_hash")
-    others = source.join(met, F.col("_bucket") == F.col("bucket"), "left_anti").select(*docs.columns)
-    joined = source.join(met, F.col("_bucket") == F.col("bucket"), "left_semi").select(*docs.columns)
+    others = source.join(met, F.col("_bucket") == F.col("_hash_bucket"), "left_anti").select(*docs.columns)
+    joined = source.join(met, F.col("_bucket") == F.col("_hash_bucket"), "left_semi").select(*docs.columns)
     left = joined.join(marked.where("goes = 1"), F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left_anti")
     return others.unionByName(left.dropDuplicates([id_col, text]))
 

@@ -77,13 +77,14 @@ def battery(codes: np.ndarray, size: int) -> float:
 
 
 def pair_counts(docs: DataFrame, text: str) -> np.ndarray:
-    """(128, 128) counts of adjacent ASCII characters over all texts; others count as code 0. Sums of each task are added up."""
+    """(128, 128) counts of adjacent ASCII characters over all texts, in lower case (names run together in capitals are still words);
+    others count as code 0. Sums of each task are added up."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(1 << 14, np.int64)
         for b in batches:
             for at in range(0, len(b), 256):
-                codes = np.frombuffer("\x00".join(b["t"].iloc[at : at + 256]).encode("utf-8", "surrogatepass"), np.uint8)
+                codes = np.frombuffer("\x00".join(b["t"].iloc[at : at + 256]).lower().encode("utf-8", "surrogatepass"), np.uint8)
                 codes = np.where(codes < 128, codes, 0).astype(np.int64)
                 total += np.bincount((codes[:-1] << 7) | codes[1:], minlength=1 << 14)
         yield pd.DataFrame({"pair": np.flatnonzero(total), "n": total[total > 0]})
@@ -110,9 +111,11 @@ def judge(token: str, model: np.ndarray) -> tuple[str, float, float] | None:
     for name, size, allowed, at in TABLES:
         if chars <= allowed:
             codes = np.fromiter((at[c] for c in body), np.int64, len(body))
-            raw = np.frombuffer(body.encode(), np.uint8).astype(int)
+            low = body.lower()
+            raw = np.frombuffer(low.encode(), np.uint8).astype(int)
             first = np.concatenate(([32], raw[:-1]))
-            return name, battery(codes, size), float(-math.log2(size) * len(body) - model[first, raw].sum())
+            alike = sum(c.lower() in at and c.upper() in at and c.isalpha() for c in low)  # either case of a letter makes the same pair
+            return name, battery(codes, size), float(alike - math.log2(size) * len(body) - model[first, raw].sum())
     return None
 
 

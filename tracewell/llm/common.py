@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 ASCII_SPACE = "\\x09-\\x0D\\x20"
@@ -41,15 +44,31 @@ def bounded(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
+_scratch: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that `materialise` writes meanwhile, without a list of their own, are deleted at the end."""
+    made: list[str] = []
+    token = _scratch.set(made)
+    try:
+        yield
+    finally:
+        _scratch.reset(token)
+        discard(spark, made)
+
+
 def materialise(df: DataFrame, tag: str, made: list[str] | None = None) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: cuts the lineage, survives lost executors.
 
-    made, if given, gets the path, for `discard`.
+    made, if given, gets the path, for `discard`; else the scratch that is open, if any.
     """
     spark = df.sparkSession
     bounded(spark)
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    made = _scratch.get() if made is None else made
     if made is not None:
         made.append(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -102,11 +121,14 @@ def connected(edges: DataFrame, tag: str = "cc") -> DataFrame:
         large = materialise(large.distinct(), tag, old)
         low = materialise(large.groupBy("a").agg(F.min("b").alias("low")), tag, old)
         linked = large.join(low, "a").where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        e = materialise(linked.unionByName(low.withColumnRenamed("low", "b")).distinct(), tag, made)
-        total = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).head()
+        seen = Observation()
+        e = linked.unionByName(low.withColumnRenamed("low", "b")).distinct()
+        e = materialise(e.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")), tag, made)
         discard(spark, old)
-        if before == tuple(total):
+        if before == seen.get:
+            if (open_ := _scratch.get()) is not None:
+                open_ += made
             return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
                 e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
             )
-        before = tuple(total)
+        before = seen.get

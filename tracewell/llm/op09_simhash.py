@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucket, buckets, connected, materialise, table
+from .common import bucket, buckets, connected, materialise, scratch, table
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 SEGMENTS, WIDTH, BITS = 4, 16, 3
@@ -103,7 +103,8 @@ def first_of_each(docs: DataFrame, text: str = "text", id_col: str = "doc_id", w
 
     Only rows in the hash buckets of ids that go or repeat are joined; all others pass as they are read.
     """
-    groups = materialise(near_duplicates(docs, text, id_col, words), "simhash-groups")
+    with scratch(docs.sparkSession):
+        groups = materialise(near_duplicates(docs, text, id_col, words), "simhash-groups", [])
     counted = groups.groupBy("doc_id").agg(F.count("*").alias("n"), F.max((~F.col("doc_id").eqNullSafe(F.col("component_id"))).cast("int")).alias("goes"))
     marked = materialise(counted.where("n > 1 or goes = 1").select(F.col("doc_id").alias("_id"), F.xxhash64("doc_id").alias("_hash"), "goes"), "simhash-marked")
     source = docs.select(*docs.columns, bucket(F.xxhash64(F.col(id_col).cast("long"))).alias("_bucket"))

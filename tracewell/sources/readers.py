@@ -177,3 +177,52 @@ def select_csv(spark: SparkSession, path: str, sql: str, header: bool = True, de
     return spark.sql(sql)
 
 
+
+
+def lines_per_split(spark: SparkSession, path: str, n: int = 1) -> DataFrame:
+    """(split, value): n lines in a split, by their order in the input."""
+    numbered = lines(spark, path).select("value", F.monotonically_increasing_id().alias("at"))
+    base = numbered.groupBy(F.shiftright("at", 33).alias("p")).agg(F.count("*").alias("c"))
+    from pyspark.sql import Window
+
+    before = base.select("p", (F.sum("c").over(Window.orderBy("p")) - F.col("c")).alias("before"))  # a row for each input partition
+    joined = numbered.withColumn("p", F.shiftright("at", 33)).join(F.broadcast(before), "p")
+    return joined.select(F.floor((F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))) / n).alias("split"), "value")
+
+
+def typed_bytes(spark: SparkSession, raw: bytes, path: str) -> int:
+    """Pairs of typed bytes into a sequence file of binary keys and values; -1 if the path is there already."""
+    from ..operators.processes import from_typed_bytes, to_typed_bytes
+
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+        return -1
+    values = from_typed_bytes(raw)
+    pairs = [(bytearray(to_typed_bytes(k)), bytearray(to_typed_bytes(v))) for k, v in zip(values[::2], values[1::2])]
+    spark.sparkContext.parallelize(pairs).saveAsSequenceFile(path)
+    return 0
+
+
+def register_source(spark: SparkSession, name: str, read: Callable[[dict], Callable[[], object]], schema: str) -> None:
+    """A record reader of one's own under a name for `spark.read.format`: read(options) gives tuples of the schema."""
+    from pyspark.sql.datasource import DataSource, DataSourceReader
+
+    class Reader(DataSourceReader):
+        def __init__(self, options):
+            self.options = options
+
+        def read(self, partition):
+            yield from read(self.options)
+
+    class Source(DataSource):
+        @classmethod
+        def name(cls):
+            return name
+
+        def schema(self):
+            return schema
+
+        def reader(self, schema):
+            return Reader(dict(self.options))
+
+    spark.dataSource.register(Source)

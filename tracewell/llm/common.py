@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +46,13 @@ def bounded(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
+def trim() -> None:
+    """Gives freed memory back to the system at the end of a task: a worker lives on for the stages that follow."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 _scratch: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
 
 
@@ -74,6 +83,8 @@ def materialise(df: DataFrame, tag: str, made: list[str] | None = None) -> DataF
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Edges that one task of a step on edges is given.
+EDGES = 500_000
 #: Bytes of an Arrow batch.
 ARROW_BYTES = 8 << 20
 #: Buckets of a hash: a set of them may always be broadcast.
@@ -110,20 +121,24 @@ def connected(edges: DataFrame, tag: str = "cc") -> DataFrame:
     """
     spark = edges.sparkSession
     made: list[str] = []
+    counted = Observation()
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    e = materialise(e, tag, made)
+    e = materialise(e.observe(counted, F.count("*").alias("n")), tag, made)
+    # Steps never make more edges than twice as many as there are: so many partitions, in place of many that are all but empty.
+    parts = 1 + 2 * (counted.get["n"] or 0) // EDGES
     before = None
     while True:
         old, made = made, []
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low")), tag, old)
+        low = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low")).coalesce(parts), tag, old)
         large = both.join(low, "a").where("b > a and b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        large = materialise(large.distinct(), tag, old)
-        low = materialise(large.groupBy("a").agg(F.min("b").alias("low")), tag, old)
+        large = materialise(large.distinct().coalesce(parts), tag, old)
+        low = materialise(large.groupBy("a").agg(F.min("b").alias("low")).coalesce(parts), tag, old)
         linked = large.join(low, "a").where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
         seen = Observation()
         e = linked.unionByName(low.withColumnRenamed("low", "b")).distinct()
-        e = materialise(e.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")), tag, made)
+        e = e.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum"))
+        e = materialise(e.coalesce(parts), tag, made)
         discard(spark, old)
         if before == seen.get:
             if (open_ := _scratch.get()) is not None:

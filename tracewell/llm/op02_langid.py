@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, trim
 
 #: Hashed dimensions, centroids for a language, and the bound of the sample: rows for a language.
 DIMS, CENTROIDS, SAMPLE = 1 << 13, 4, 600
@@ -135,6 +135,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "
             for a, z in groups(texts):
                 seen += (counts(texts[a:z]) > 0).sum(axis=0)
         yield pd.DataFrame({"dim": np.flatnonzero(seen), "df": seen[seen > 0]})
+        trim()
 
     df = np.zeros(DIMS)
     for r in train.select("t").mapInPandas(frequencies, "dim long, df long").groupBy("dim").agg(F.sum("df").alias("df")).collect():
@@ -146,7 +147,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "
             texts, found = b["t"].tolist(), []
             for a, z in groups(texts):
                 x = counts(texts[a:z])
-                found += [(np.flatnonzero(r).astype(np.int32), r[r > 0]) for r in x]
+                found += [(np.flatnonzero(r).astype("<i2").tobytes(), r[r > 0].astype("<f4").tobytes()) for r in x]
             yield pd.DataFrame({"l": b["l"], "o": b["o"], "dims": [d for d, _ in found], "n": [n for _, n in found]})
 
     # The rows with the smallest hashes: a share of each language that leaves room for chance, cut to SAMPLE on the driver.
@@ -155,14 +156,14 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "
     unit = (F.shiftrightunsigned(order, 11)).cast("double") / float(1 << 53)
     picked = train.select("l", "t", order.alias("o")).where(unit < F.try_element_at(share, F.col("l")))
     sample: dict[str, list] = {}
-    for r in picked.mapInPandas(sparse, "l string, o long, dims array<int>, n array<float>").collect():
+    for r in picked.mapInPandas(sparse, "l string, o long, dims binary, n binary").collect():
         sample.setdefault(r.l, []).append((r.o, r.dims, r.n))
 
     model = Model(sorted(sample), np.empty(0, int), idf, np.empty((0, DIMS), np.float32), np.empty(0))
     for i, name in enumerate(model.langs):
         x = np.zeros((min(SAMPLE, len(sample[name])), DIMS), np.float32)
         for k, (_, dims, n) in enumerate(sorted(sample.pop(name), key=lambda s: s[0])[:SAMPLE]):
-            x[k, dims] = n
+            x[k, np.frombuffer(dims, "<i2")] = np.frombuffer(n, "<f4")
         x = x[x.any(axis=1)]
         if not len(x):
             continue
@@ -172,6 +173,8 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "
         model.least = np.concatenate((model.least, np.full(len(c), SLACK * own[long if long.any() else own > -1].min())))
         model.of = np.concatenate((model.of, np.full(len(c), i)))
         model.centroids = np.concatenate((model.centroids, c))
+        del x, v
+        trim()
     if not len(model.centroids):
         return None
     return model
@@ -191,6 +194,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
         for t in texts:
             lang, score, rejected = shared.value.predict([None if x is None else x for x in t])
             yield pd.DataFrame({"lang_pred": lang, "score": score, "rejected": rejected})
+        trim()
 
     found = docs.select(*[f.name for f in own], classify(F.col(text)).alias("_found"))
     return found.select(*[f.name for f in own], "_found.lang_pred", "_found.score", "_found.rejected")

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucket, buckets, connected, materialise, scratch, table
+from .common import bucket, buckets, connected, materialise, scratch, table, trim
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 SEGMENTS, WIDTH, BITS = 4, 16, 3
@@ -51,6 +51,7 @@ def fingerprints(docs: DataFrame, text: str = "text", id_col: str = "doc_id", wo
         for b in batches:
             fp = [fingerprint(t, words) for t in b["t"]]
             yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "fp": np.array(fp, np.int64)})
+        trim()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("t")).mapInPandas(each, "doc_id long, fp long")
 

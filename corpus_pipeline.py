@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import common, op02_langid, op04_mixing, op07_bpe, op08_lines, op09_simhash
+from tracewell.llm import common, near, op02_langid, op04_mixing, op07_bpe, op08_lines
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -32,8 +32,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates, the one with the smallest id."""
-    return op09_simhash.first_of_each(docs.select(*COLUMNS))
+    """Keeps one document of each group of near duplicates, the one with the smallest id: links are all pairs whose five-word shingles have
+    a Jaccard similarity of 0.8 or more."""
+    return near.first_of_each(docs.select(*COLUMNS))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -542,3 +542,32 @@ def test_pipeline_on_an_empty_table(spark):
     for _, f in corpus_pipeline.STAGES:
         docs = common.materialise(f(spark, docs, TINY), "test")
     assert docs.count() == 0
+
+
+# near duplicates by shingles
+
+
+def brute_similar(rows, words=5):
+    """Links of all pairs of (key, text) whose sets of shingles have a Jaccard similarity of 0.8 or more."""
+    sets = {}
+    for k, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets[k] = {tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set()
+    ids = list(sets)
+    return [(a, b) for n, a in enumerate(ids) for b in ids[:n] if sets[a] == sets[b] or min(len(sets[a]), len(sets[b])) >= 0.8 * max(len(sets[a]), len(sets[b])) and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])]
+
+
+def test_near_duplicate_stage_against_all_pairs(spark, docs):
+    rng = random.Random(12)
+    rows = sorted(docs.items())
+    for i in range(80):  # one group of near copies, and a passage that many others begin with
+        words = rows[0][1].split()[:200]
+        words[rng.randrange(len(words))] = "zebra"
+        rows.append((10_000 + i, " ".join(words)))
+        rows.append((20_000 + i, LINE + " " + " ".join(rng.choice("abcdefgh") * 3 for _ in range(rng.randrange(30)))))
+    links = brute_similar(rows)
+    fps = {i: brute_fingerprint(t) for i, t in rows}
+    assert any((fps[a] ^ fps[b]).bit_count() > 3 for a, b in links)
+    df = spark.createDataFrame([(i, t, None, None, 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    got = sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, SMALL).collect())
+    assert got == sorted(set(components([i for i, _ in rows], links).values()))

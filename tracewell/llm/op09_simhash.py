@@ -23,20 +23,26 @@ LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 SEGMENTS, WIDTH, BITS = 4, 16, 3
 
 
-def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
-    """Signed 64-bit SimHash of the shingles of `words` words; 0 where there is no word."""
+def shingles(text: str | None, words: int = 3, seed: int = 42) -> np.ndarray:
+    """Hashes of the shingles of `words` words, in their order; of a shorter text as a whole; none where there is no word."""
     tokens = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
     if not tokens:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(tokens)
     n = len(tokens) - words + 1
     digest = xxhash.xxh64_intdigest
     if n < 2:
-        h = np.array([digest(joined, seed)], np.uint64)
-    else:
-        ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1))[:n].tolist()
-        h = np.fromiter([digest(joined[a:b], seed) for a, b in zip(starts, ends[words - 1 :].tolist())], np.uint64, n)
+        return np.array([digest(joined, seed)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))[:n].tolist()
+    return np.fromiter([digest(joined[a:b], seed) for a, b in zip(starts, ends[words - 1 :].tolist())], np.uint64, n)
+
+
+def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
+    """Signed 64-bit SimHash of the shingles of `words` words; 0 where there is no word."""
+    h = shingles(text, words, seed)
+    if not len(h):
+        return 0
     ones = np.zeros(64, np.int64)
     for at in range(0, len(h), 65_536):  # very long texts: bounded memory
         bits = np.unpackbits(h[at : at + 65_536].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tracewell.llm import common, op01_secrets, op02_langid, op03_topk, op04_mixing, op05_chat, op06_tokenfile, op07_bpe, op08_lines, op09_simhash, op10_ann, queries
+from tracewell.llm import common, near, op01_secrets, op02_langid, op03_topk, op04_mixing, op05_chat, op06_tokenfile, op07_bpe, op08_lines, op09_simhash, op10_ann, queries
 
 SMALL = "/root/testdata/sf0.01"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, tokens string, n_removed string, lang_pred string, score string, h string, name string, bucket string"
@@ -571,3 +571,12 @@ def test_near_duplicate_stage_against_all_pairs(spark, docs):
     df = spark.createDataFrame([(i, t, None, None, 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
     got = sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, SMALL).collect())
     assert got == sorted(set(components([i for i, _ in rows], links).values()))
+
+
+@pytest.mark.parametrize("module", [op09_simhash, near])
+def test_first_of_each_decides_by_id_and_text(spark, module):
+    other, third = "some quite different words stand here alone today", "yet another text that nothing else is like at all"
+    rows = [(1, LINE), (None, LINE), (None, other), (2, third), (2, LINE), (3, third), (4, "a b c d e f g"), (4, "a b  c d e f g")]
+    got = [(r.doc_id, r.text) for r in module.first_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    assert sorted((i for i, _ in got), key=str) == [1, 2, 4, None]
+    assert {(1, LINE), (2, third), (None, other)} < set(got)

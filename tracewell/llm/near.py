@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bucket, buckets, connected, materialise, scratch, trim
-from .op09_simhash import shingles
+from .op09_simhash import keep_first, shingles
 
 WORDS, SIMILARITY = 5, 0.8
 #: Documents of which a sample has one, those of a sample that make a shingle frequent, and frequent shingles at most.
@@ -118,27 +118,6 @@ def members(docs: DataFrame, text: str = "text", id_col: str = "doc_id", words:
     return own.join(roots, own.k == roots.node, "left").select("doc_id", "h", F.coalesce("root", "k").alias("root"))
 
 
-def keep_first(docs: DataFrame, grouped: DataFrame, text: str, id_col: str) -> DataFrame:
-    """The rows and columns of docs, one of each group of grouped (doc_id, h, root): that of the smallest id and, where the id repeats,
-    of the smallest hash. Rows with a null id stay where nothing but null ids is in their group; of rows that repeat an id and its
-    text, one stays.
-
-    Every row is decided by its id and its text. Only rows in the hash buckets of groups of two or more are joined; all others
-    pass as they are read.
-    """
-    place = F.struct("doc_id", "h")
-    many = grouped.groupBy("root").agg(F.count("*").alias("n"), F.min(F.when(F.col("doc_id").isNotNull(), place)).alias("kept")).where("n > 1")
-    goes = F.col("kept").isNotNull() & ~place.eqNullSafe(F.col("kept"))
-    marked = grouped.join(many, "root").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), goes.alias("goes"))
-    marked = materialise(marked.distinct(), "near-marked", [])
-    source = docs.select(*docs.columns, bucket(F.xxhash64(text)).alias("_bucket"))
-    met = buckets(marked, "_h")
-    others = source.join(met, F.col("_bucket") == F.col("_hash_bucket"), "left_anti").select(*docs.columns)
-    joined = source.join(met, F.col("_bucket") == F.col("_hash_bucket"), "left_semi").select(*docs.columns)
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_h"))
-    return others.unionByName(joined.join(marked.where("goes"), same, "left_anti").dropDuplicates([id_col, text]))
-
-
 def first_of_each(docs: DataFrame, text: str = "text", id_col: str = "doc_id", words: int = WORDS, least: float = SIMILARITY) -> DataFrame:
     """The rows and columns of docs, one of each group of near duplicates, as `keep_first` has it."""
     with scratch(docs.sparkSession):

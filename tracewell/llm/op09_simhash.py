@@ -50,16 +50,17 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
     return int(np.packbits(ones * 2 > len(h)).view(">i8")[0])
 
 
-def fingerprints(docs: DataFrame, text: str = "text", id_col: str = "doc_id", words: int = 3) -> DataFrame:
-    """(doc_id, fp): one row for each row of docs; null and empty texts have fingerprint 0."""
+def fingerprints(docs: DataFrame, text: str = "text", id_col: str = "doc_id", words: int = 3, hashed: bool = False) -> DataFrame:
+    """(doc_id, fp): one row for each row of docs; null and empty texts have fingerprint 0. If hashed, h comes too, the text's hash."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             fp = [fingerprint(t, words) for t in b["t"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "fp": np.array(fp, np.int64)})
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), **({"h": b["h"]} if hashed else {}), "fp": np.array(fp, np.int64)})
         trim()
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("t")).mapInPandas(each, "doc_id long, fp long")
+    own = [F.col(id_col).cast("long").alias("doc_id"), *([F.xxhash64(text).alias("h")] if hashed else [])]
+    return docs.select(*own, F.col(text).alias("t")).mapInPandas(each, f"doc_id long, {'h long, ' if hashed else ''}fp long")
 
 
 def _segment(fp, i: int):
@@ -87,6 +88,15 @@ def pairs(fps: DataFrame, fp: str = "fp") -> DataFrame:
     return joined.select("a", "b")
 
 
+def _rooted(own: DataFrame) -> DataFrame:
+    """(fp, first, root): every fingerprint of own with its smallest id and the smallest fingerprint that links reach."""
+    fps = materialise(own.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-fp")
+    links = materialise(pairs(fps), "simhash-links")
+    roots = materialise(connected(links), "simhash-roots")
+    rooted = fps.join(roots, fps.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    return materialise(rooted, "simhash-rooted")
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", words: int = 3) -> DataFrame:
     """(doc_id, fingerprint, component_id): one row for each row of docs, repeated rows included.
 
@@ -94,32 +104,39 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     An empty table gives an empty result; texts without words share fingerprint zero. Other columns are not read.
     """
     own = materialise(fingerprints(docs, text, id_col, words), "simhash")
-    fps = materialise(own.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-fp")
-    links = materialise(pairs(fps), "simhash-links")
-    roots = materialise(connected(links), "simhash-roots")
-    rooted = fps.join(roots, fps.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    rooted = materialise(rooted, "simhash-rooted")
+    rooted = _rooted(own)
     least = materialise(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "simhash-least")
     of = materialise(rooted.join(least, "root").select("fp", "component_id"), "simhash-of")
     return own.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def first_of_each(docs: DataFrame, text: str = "text", id_col: str = "doc_id", words: int = 3) -> DataFrame:
-    """The rows and columns of docs, one of each group of near duplicates: the one whose id is the group's smallest; of rows that repeat
-    an id and its text, one. Rows with a null id stay where nothing but null ids is in their group.
+def keep_first(docs: DataFrame, grouped: DataFrame, text: str, id_col: str) -> DataFrame:
+    """The rows and columns of docs, one of each group of grouped (doc_id, h, root): that of the smallest id and, where the id repeats,
+    of the smallest hash. Rows with a null id stay where nothing but null ids is in their group; of rows that repeat an id and its
+    text, one stays.
 
-    Only rows in the hash buckets of ids that go or repeat are joined; all others pass as they are read.
+    Every row is decided by its id and its text. Only rows in the hash buckets of groups of two or more are joined; all others
+    pass as they are read.
     """
-    with scratch(docs.sparkSession):
-        groups = materialise(near_duplicates(docs, text, id_col, words), "simhash-groups", [])
-    counted = groups.groupBy("doc_id").agg(F.count("*").alias("n"), F.max((~F.col("doc_id").eqNullSafe(F.col("component_id"))).cast("int")).alias("goes"))
-    marked = materialise(counted.where("n > 1 or goes = 1").select(F.col("doc_id").alias("_id"), F.xxhash64("doc_id").alias("_hash"), "goes"), "simhash-marked")
-    source = docs.select(*docs.columns, bucket(F.xxhash64(F.col(id_col).cast("long"))).alias("_bucket"))
-    met = buckets(marked, "_hash")
+    place = F.struct("doc_id", "h")
+    many = grouped.groupBy("root").agg(F.count("*").alias("n"), F.min(F.when(F.col("doc_id").isNotNull(), place)).alias("kept")).where("n > 1")
+    goes = F.col("kept").isNotNull() & ~place.eqNullSafe(F.col("kept"))
+    marked = grouped.join(many, "root").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), goes.alias("goes"))
+    marked = materialise(marked.distinct(), "near-marked", [])
+    source = docs.select(*docs.columns, bucket(F.xxhash64(text)).alias("_bucket"))
+    met = buckets(marked, "_h")
     others = source.join(met, F.col("_bucket") == F.col("_hash_bucket"), "left_anti").select(*docs.columns)
     joined = source.join(met, F.col("_bucket") == F.col("_hash_bucket"), "left_semi").select(*docs.columns)
-    left = joined.join(marked.where("goes = 1"), F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left_anti")
-    return others.unionByName(left.dropDuplicates([id_col, text]))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_h"))
+    return others.unionByName(joined.join(marked.where("goes"), same, "left_anti").dropDuplicates([id_col, text]))
+
+
+def first_of_each(docs: DataFrame, text: str = "text", id_col: str = "doc_id", words: int = 3) -> DataFrame:
+    """The rows and columns of docs, one of each group of near duplicates, as `keep_first` has it."""
+    with scratch(docs.sparkSession):
+        own = materialise(fingerprints(docs, text, id_col, words, True), "simhash")
+        grouped = materialise(own.join(_rooted(own), "fp").select("doc_id", "h", "root"), "simhash-groups", [])
+    return keep_first(docs, grouped, text, id_col)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -580,3 +580,28 @@ def test_first_of_each_decides_by_id_and_text(spark, module):
     got = [(r.doc_id, r.text) for r in module.first_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
     assert sorted((i for i, _ in got), key=str) == [1, 2, 4, None]
     assert {(1, LINE), (2, third), (None, other)} < set(got)
+
+
+def test_lines_by_edit_similarity_alone(spark, docs):
+    """All pairs of lines by edit similarity, with no gate: at least 0.99 of those above 0.8 must end in one group."""
+    rng = random.Random(13)
+    rows = [(i, docs[i]) for i in sorted(docs)[:60]]
+    lines = [x for _, t in rows for x in (t or "").split("\n") if len(x.split()) >= 12][:60]
+    for n, x in enumerate(lines):  # two to five words in twenty changed
+        words = x.split()
+        for at in rng.sample(range(len(words)), max(1, len(words) // rng.choice((4, 6, 10)))):
+            words[at] = rng.choice(["zebra", "lemon", words[at] + "!"])
+        rows.append((10_000 + n, " ".join(words)))
+    place = {(i, n): op08_lines.normalise(x) for i, t in rows for n, x in enumerate((t or "").split("\n")) if len(x.split()) >= 5}
+    texts = sorted(set(place.values()))
+    links = [(a, b) for k, a in enumerate(texts) for b in texts[:k] if op08_lines.similar(a, b, 0.8)]
+    root = components(texts, links)
+    first = {}
+    for p in sorted(place):
+        first.setdefault(root[place[p]], p)
+    gone = Counter(i for (i, n), x in place.items() if first[root[x]] != (i, n))
+    got = {r.doc_id: r.n_removed for r in op08_lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    missed = sum(max(0, gone[i] - got[i]) for i in got)
+    print("lines to go", sum(gone.values()), "missed", missed)
+    assert sum(gone.values()) > 30 and missed <= 0.01 * sum(gone.values())
+    assert all(got[i] <= gone[i] for i in got)

@@ -16,6 +16,17 @@ def test_query_runs(spark, name):
     assert catalog.QUERIES[name](spark, TINY).count() > 0
 
 
+@pytest.mark.parametrize("name", ["o08_key_sort_whole", "o09_compound_whole"])
+def test_whole_sorts_hold_every_position(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for table in ("part", "orders"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{TINY}/{table}.parquet'")
+    want = [r[0] for r in con.execute(catalog.ORACLE_SQL[name]).fetchall()]
+    assert len(want) > 100 and [r[0] for r in catalog.QUERIES[name](spark, TINY).collect()] == want
+
+
 def test_entry_and_registry(spark):
     import __spark_entry__ as e
 

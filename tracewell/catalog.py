@@ -462,6 +462,17 @@ def o09_compound(spark, d):
     return ordering.compound(t(spark, d, "orders"), F.col("o_orderpriority").asc(), F.col("o_totalprice").desc(), F.col("o_orderkey").asc()).limit(100).select("o_orderkey")
 
 
+@query("SELECT p_brand || chr(9) || p_size AS line FROM part ORDER BY p_size DESC, p_brand")
+def o08_key_sort_whole(spark, d):
+    df = t(spark, d, "part").select(F.concat_ws("\t", "p_brand", F.col("p_size").cast("string")).alias("line"))
+    return ordering.sort_by_keys(df, "-k2,2nr -k1,1", "line")
+
+
+@query("SELECT o_orderkey FROM orders ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey")
+def o09_compound_whole(spark, d):
+    return ordering.compound(t(spark, d, "orders"), F.col("o_orderpriority").asc(), F.col("o_totalprice").desc(), F.col("o_orderkey").asc()).select("o_orderkey")
+
+
 @query("SELECT o_orderkey, o_custkey FROM orders")
 def p03_total_order(spark, d):
     return ordering.total_order(t(spark, d, "orders").select("o_orderkey", "o_custkey"), 8, "o_custkey", "o_orderkey")

@@ -43,12 +43,14 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, n_tokens, ids: every whole text in token ids, checked by decoding them."""
+    """doc_id, source, n_tokens, ids: every whole text in token ids, checked by decoding them; ids that don't give the text back are an error."""
     import public_tokenizers
 
     ranks = op07_bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    coded = op07_bpe.encode(docs, ranks, public_tokenizers.PATTERN, keep=("doc_id", "source"))
-    return coded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    coded = op07_bpe.encode(docs, ranks, public_tokenizers.PATTERN, keep=("doc_id", "source", "text"))
+    back = op07_bpe.decode("ids", ranks).eqNullSafe(F.coalesce("text", F.lit("")).cast("binary"))
+    ids = F.when(back, F.col("ids")).otherwise(F.raise_error(F.concat(F.lit("ids don't decode to the text of document "), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))))
+    return coded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), ids.alias("ids"))
 
 
 STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("near_duplicates", near_duplicates), ("mixing", mixing), ("byte_bpe", byte_bpe)]

@@ -605,3 +605,13 @@ def test_lines_by_edit_similarity_alone(spark, docs):
     print("lines to go", sum(gone.values()), "missed", missed)
     assert sum(gone.values()) > 30 and missed <= 0.01 * sum(gone.values())
     assert all(got[i] <= gone[i] for i in got)
+
+
+def test_byte_bpe_stage_decodes(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "alpha beta", "en", "s", 10), (2, None, "en", "s", None)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.n_tokens > 0 for r in corpus_pipeline.byte_bpe(spark, docs, TINY).collect()) == [False, True]
+    encode = op07_bpe.encode
+    wrong = lambda *a, **k: encode(*a, **k).withColumn("ids", F.transform("ids", lambda i: F.when(i == 0, 1).otherwise(i - 1)))
+    monkeypatch.setattr(op07_bpe, "encode", wrong)
+    with pytest.raises(Exception, match="decode"):
+        corpus_pipeline.byte_bpe(spark, docs, TINY).collect()

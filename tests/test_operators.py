@@ -352,3 +352,14 @@ def test_stream_equals_batch(spark, tmp_path):
     q.awaitTermination()
     want = {(r.start, r.event_type): r.n for r in metrics.windowed_average(batch, "ts", "event_type", "value", "1 day").collect()}
     assert {(r.start, r.event_type): r.n for r in spark.table("averages").collect()} == want
+
+
+def test_hierarchies_end_whole_or_with_an_error(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(6)], "c long, p long")
+    assert graph.hierarchy(chain, "c", "p", 6).count() == 21
+    with pytest.raises(ValueError):
+        graph.hierarchy(chain, "c", "p", 5)
+    tree = spark.createDataFrame([(i, i - 1 if i else None, str(i)) for i in range(6)], "n long, p long, name string")
+    assert graph.tree_paths(tree, "n", "p", "name", 5).count() == 6
+    with pytest.raises(ValueError):
+        graph.tree_paths(tree, "n", "p", "name", 4)

@@ -65,16 +65,19 @@ def edge_text(caller: str = "caller", callee: str = "callee") -> Column:
 
 
 def hierarchy(extends: DataFrame, child: str, parent: str, most: int = 32) -> DataFrame:
-    """(child, ancestor, depth): all ancestors with the least number of steps to them; cycles end by themselves."""
+    """(child, ancestor, depth): all ancestors with the least number of steps to them; cycles end by themselves. Ancestors over `most`
+    steps away are an error."""
     base = extends.select(F.col(child).alias("child"), F.col(parent).alias("ancestor")).distinct()
     up = base.select(F.col("child").alias("_c"), F.col("ancestor").alias("_a"))
     level, seen = base.withColumn("depth", F.lit(1)), base
     out = level
-    for depth in range(2, most + 1):
+    for depth in range(2, most + 2):
         new = level.join(up, level.ancestor == up._c).select("child", F.col("_a").alias("ancestor")).distinct()
         new = _cut(new.join(seen, ["child", "ancestor"], "left_anti"))
         if new.isEmpty():
             break
+        if depth > most:
+            raise ValueError(f"ancestors over {most} steps away")
         seen = seen.unionByName(new)
         level = new.withColumn("depth", F.lit(depth))
         out = out.unionByName(level)
@@ -94,13 +97,15 @@ def call_facts(facts: DataFrame) -> DataFrame:
 
 
 def tree_paths(nodes: DataFrame, node: str, parent: str, name: str, most: int = 64) -> DataFrame:
-    """(node, path, depth) of a tree's nodes from its roots, whose parent is null, one level after the other."""
+    """(node, path, depth) of a tree's nodes from its roots, whose parent is null, one level after the other. Nodes under more than `most` are an error."""
     level = nodes.where(F.col(parent).isNull()).select(F.col(node).alias("node"), F.concat(F.lit("/"), F.col(name)).alias("path"), F.lit(0).alias("depth"))
     out = level
-    for depth in range(1, most + 1):
+    for depth in range(1, most + 2):
         kids = nodes.select(F.col(node).alias("_n"), F.col(parent).alias("_p"), F.col(name).alias("_name"))
         level = _cut(level.join(kids, level.node == kids._p).select(F.col("_n").alias("node"), F.concat_ws("/", "path", "_name").alias("path"), F.lit(depth).alias("depth")))
         if level.isEmpty():
             break
+        if depth > most:
+            raise ValueError(f"nodes under more than {most} others")
         out = out.unionByName(level)
     return out

@@ -615,3 +615,19 @@ def test_byte_bpe_stage_decodes(spark, monkeypatch):
     monkeypatch.setattr(op07_bpe, "encode", wrong)
     with pytest.raises(Exception, match="decode"):
         corpus_pipeline.byte_bpe(spark, docs, TINY).collect()
+
+
+def test_passes_are_permutations(spark):
+    docs = spark.createDataFrame([(i, f"w{i} x", "s" if i < 20 else "t") for i in range(25)], "doc_id long, text string, source string")
+    planned = op04_mixing.plan(docs, total=150, repetition=2.0, block_tokens=8)
+    got = op04_mixing.passes(planned).orderBy("source", "pass", "block_key", "row_key").collect()
+    plan = {r.doc_id: r for r in planned.collect()}
+    assert Counter(r.doc_id for r in got) == Counter({i: r.epochs + r.extra for i, r in plan.items()})
+    orders = {}
+    for r in got:
+        orders.setdefault((r.source, r["pass"]), []).append(r.doc_id)
+    whole = [v for (s, p), v in orders.items() if s == "s" and p < plan[0].epochs]
+    assert len(whole) > 1 and all(sorted(v) == list(range(20)) for v in whole) and len({tuple(v) for v in whole}) == len(whole)
+    for v in whole:  # blocks stay together
+        blocks = [plan[i].block for i in v]
+        assert sum(a != b for a, b in zip(blocks, blocks[1:])) == len(set(blocks)) - 1

@@ -109,8 +109,17 @@ def plan(docs: DataFrame, text: str = "text", id_col: str = "doc_id", source: st
     return dealt(keyed, sources).select("own.*", "tokens", "block", "epochs", extra.cast("long").alias("extra"))
 
 
+def passes(planned: DataFrame, text: str = "text", id_col: str = "doc_id", source: str = "source") -> DataFrame:
+    """The plan's rows, one for each pass that takes them, with pass (from 0; the one in part is the last), block_key and row_key: within a source, the
+    order by these three is the permutation of every pass, whole or in part."""
+    name = F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit(""))
+    own = planned.where("epochs + extra > 0").withColumn("pass", F.explode(F.expr("sequence(0L, epochs + extra - 1L)")))
+    own = own.withColumn("block_key", _key(F.col("pass"), name, F.col("block")))
+    return own.withColumn("row_key", _key(F.col("pass"), F.col(id_col).cast("string"), F.md5(text)))
+
+
 def mix(docs: DataFrame, text: str = "text", id_col: str = "doc_id", source: str = "source", **limits) -> DataFrame:
-    """The rows and columns of docs, each as many times as the plan takes it. With no total, every row is there at least once."""
+    """The rows and columns of docs, each as many times as the plan takes it, in no order: that of the passes is `passes`'. With no total, every row is there at least once."""
     planned = plan(docs.select(F.struct(*docs.columns).alias("_own"), F.col(id_col).alias("_id"), F.col(text).alias("_text"), F.col(source).alias("_source")), "_text", "_id", "_source", **limits)
     return planned.select("_own", F.explode(F.array_repeat(F.lit(1), (F.col("epochs") + F.col("extra")).cast("int")))).select("_own.*")
 

@@ -415,6 +415,13 @@ def distance(a, b):
 
 def test_edit_similarity():
     rng = random.Random(9)
+    for _ in range(300):  # the band about the diagonal, and the bound by words
+        a, b = sorted(("".join(rng.choice("abc ") for _ in range(rng.randrange(1, 60))) for _ in range(2)), key=len, reverse=True)
+        d = distance(a, b)
+        assert op08_lines.at_most(a.split(" "), b.split(" ")) >= d
+        for most in (1, 3, 8, 20, 64):
+            got = op08_lines.banded(a, b, most)
+            assert got == d if d <= most else got > most
     for _ in range(600):
         a = "".join(rng.choice("abc ") for _ in range(rng.randrange(1, 40)))
         b = list(a)
@@ -425,21 +432,32 @@ def test_edit_similarity():
         assert op08_lines.similar(a, b, 0.8) == (distance(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9)), (a, b)
 
 
-def brute_lines(rows):
-    """The texts that stay, by all pairs of lines."""
+def brute_gone(rows):
+    """The (id, line number) that go, by all pairs of lines: those of five words and more are linked by edit similarity alone, shorter ones if equal."""
     place, norm = {}, {}
     for i, t in rows:
         for n, x in enumerate((t or "").split("\n")):
-            if len(x.split()) >= 5:
+            if x.split():
                 place[i, n] = op08_lines.normalise(x)
-    texts = sorted(set(place.values()))
-    sims = dict(zip(texts, op08_lines.simhashes([list(set(t.split())) for t in texts]).tolist()))
-    links = [(a, b) for k, a in enumerate(texts) for b in texts[:k] if ((sims[a] ^ sims[b]) & (2**64 - 1)).bit_count() <= 3 and op08_lines.similar(a, b, 0.8)]
-    root = components(texts, links)
+    texts = sorted({x for x in place.values() if len(x.split()) >= 5}, key=len)
+    chars = [Counter(x) for x in texts]
+    links = []
+    for k, a in enumerate(texts):
+        for j in range(k + 1, len(texts)):
+            most = int(0.2 * len(texts[j]) + 1e-9)
+            if len(texts[j]) - len(a) > most:
+                break
+            if (chars[j] - chars[k]).total() <= most and op08_lines.similar(a, texts[j], 0.8):
+                links.append((a, texts[j]))
+    root = components(set(place.values()), links)
     for p in sorted(place):
         norm.setdefault(root[place[p]], p)
-    gone = {p for p, x in place.items() if norm[root[x]] != p}
-    return {i: "\n".join(x for n, x in enumerate(t.split("\n")) if (i, n) not in gone) for i, t in rows}
+    return {p for p, x in place.items() if norm[root[x]] != p}
+
+
+def brute_lines(rows):
+    gone = brute_gone(rows)
+    return {i: t and "\n".join(x for n, x in enumerate(t.split("\n")) if (i, n) not in gone) for i, t in rows}
 
 
 def test_lines_against_all_pairs(spark, docs):
@@ -592,14 +610,7 @@ def test_lines_by_edit_similarity_alone(spark, docs):
         for at in rng.sample(range(len(words)), max(1, len(words) // rng.choice((4, 6, 10)))):
             words[at] = rng.choice(["zebra", "lemon", words[at] + "!"])
         rows.append((10_000 + n, " ".join(words)))
-    place = {(i, n): op08_lines.normalise(x) for i, t in rows for n, x in enumerate((t or "").split("\n")) if len(x.split()) >= 5}
-    texts = sorted(set(place.values()))
-    links = [(a, b) for k, a in enumerate(texts) for b in texts[:k] if op08_lines.similar(a, b, 0.8)]
-    root = components(texts, links)
-    first = {}
-    for p in sorted(place):
-        first.setdefault(root[place[p]], p)
-    gone = Counter(i for (i, n), x in place.items() if first[root[x]] != (i, n))
+    gone = Counter(i for i, _ in brute_gone(rows))
     got = {r.doc_id: r.n_removed for r in op08_lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
     missed = sum(max(0, gone[i] - got[i]) for i in got)
     print("lines to go", sum(gone.values()), "missed", missed)

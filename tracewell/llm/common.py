@@ -9,7 +9,10 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,7 +36,7 @@ def shared_dir(spark: SparkSession) -> str:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = found.get() if found.isDefined() else None
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="tracewell-")
         spark.sparkContext.setCheckpointDir(base)
@@ -101,6 +104,44 @@ def buckets(hashes: DataFrame, hashed: str) -> DataFrame:
     return F.broadcast(hashes.select(bucket(F.col(hashed)).alias("_hash_bucket")).distinct())
 
 
+def chunks(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, list[str | None]]]:
+    """The texts of a column in runs of about `most` bytes, one text at least, each with the number of its first row."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    at = 0
+    while at < len(texts):
+        before = int(sizes[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(sizes, before + most, side="right")))
+        yield at, texts.slice(at, to - at).to_pylist()
+        at = to
+
+
+#: Buckets of a bitmap: BITMAP / 64 rows come to the driver at any size, and as many words go out.
+BITMAP = 1 << 24
+
+
+def bitmap(hashes: DataFrame, hashed: str) -> Broadcast:
+    """A bitmap of the buckets (the highest bits) of a long column of hashes. Rows in no such bucket aren't among them; the others
+    still have to be joined."""
+    shift = 64 - (BITMAP.bit_length() - 1)
+    b = F.shiftrightunsigned(hashed, shift)
+    found = hashes.groupBy(F.shiftright(b, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned({hashed}, {shift}) & 63 as int))")).alias("bits"))
+    words = np.zeros(BITMAP >> 6, np.int64)
+    for batch in found.toArrow().to_batches():
+        words[batch.column(0).to_numpy(zero_copy_only=False)] = batch.column(1).to_numpy(zero_copy_only=False)
+    return hashes.sparkSession.sparkContext.broadcast(words.view(np.uint64))
+
+
+def in_bitmap(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which of the int64 hashes are in buckets of a bitmap."""
+    b = hashes.view(np.uint64) >> np.uint64(64 - (BITMAP.bit_length() - 1))
+    return (words[(b >> np.uint64(6)).astype(np.int64)] >> (b & np.uint64(63))) & np.uint64(1) != 0
+
+
+def packed(df: DataFrame, without: tuple[str, ...] = ()) -> Column:
+    """All columns of df in one struct: no name of theirs can meet a name that an operator gives."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in without])
+
+
 def discard(spark: SparkSession, paths: list[str]) -> None:
     """Deletes tables that `materialise` wrote and that nothing reads any more."""
     jvm = spark.sparkContext._jvm

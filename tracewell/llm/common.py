@@ -56,14 +56,14 @@ def trim() -> None:
         libc.malloc_trim(0)
 
 
-_scratch: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+_scratch: ContextVar[tuple[list[str], ...]] = ContextVar("scratch", default=())
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Tables that `materialise` writes meanwhile, without a list of their own, are deleted at the end."""
+    """Tables that `materialise` writes meanwhile, without a list of their own, are deleted at the end; results with the scratch around this one."""
     made: list[str] = []
-    token = _scratch.set(made)
+    token = _scratch.set((*_scratch.get(), made))
     try:
         yield
     finally:
@@ -71,16 +71,18 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         discard(spark, made)
 
 
-def materialise(df: DataFrame, tag: str, made: list[str] | None = None) -> DataFrame:
+def materialise(df: DataFrame, tag: str, made: list[str] | None = None, result: bool = False) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: cuts the lineage, survives lost executors.
 
-    made, if given, gets the path, for `discard`; else the scratch that is open, if any.
+    made, if given, gets the path, for `discard`; else the scratch that is open, if any: for a result, which outlives it, the one around it.
     """
     spark = df.sparkSession
     bounded(spark)
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    made = _scratch.get() if made is None else made
+    open_ = _scratch.get()[: -1 if result else None]
+    if made is None and open_:
+        made = open_[-1]
     if made is not None:
         made.append(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -182,8 +184,8 @@ def connected(edges: DataFrame, tag: str = "cc") -> DataFrame:
         e = materialise(e.coalesce(parts), tag, made)
         discard(spark, old)
         if before == seen.get:
-            if (open_ := _scratch.get()) is not None:
-                open_ += made
+            if open_ := _scratch.get():
+                open_[-1].extend(made)
             return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
                 e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
             )

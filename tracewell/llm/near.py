@@ -1,86 +1,142 @@
-"""Near-duplicate documents by the similarity of their shingles, without a miss.
+"""The whole links of operator 9: pairs of documents whose shingles are similar enough, without a miss.
 
 Two sets of m and n shingles of Jaccard similarity s or more share at least s max(m, n) of them, so under any one order of all
-shingles the first n - ceil(s n) + 1 of either hold a common one (prefix filtering). The order is that of hashes, with shingles found
-in many documents of a sample last: whichever those are, no pair is lost, and buckets stay small. Each bucket is linked to its smallest
-set first; then all its pairs that are not connected yet are compared, so a large group of near copies costs its size. Every link is
-verified on the whole sets.
+shingles the first n - ceil(s n) + 1 of either hold a common one (prefix filtering). The order is that of hashes, with shingles that
+many documents have last: whichever those are, no pair is lost, and buckets stay small. Each bucket is linked to a few of its sets
+first; then all its pairs that are not connected yet are compared, so a large group of near copies costs its size. Every link is
+verified on the whole sets, which are read again from the texts for the sets that are wanted.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket, buckets, connected, materialise, scratch, trim
-from .op09_simhash import keep_first, shingles
+from . import hashing
+from .common import bitmap, chunks, connected, in_bitmap, materialise, trim
 
-WORDS, SIMILARITY = 5, 0.8
-#: Documents of which a sample has one, those of a sample that make a shingle frequent, and frequent shingles at most.
-SAMPLE, FREQUENT, HOT = 8, 4, 1 << 20
+#: Times that a shingle is among the first of documents to come last, shingles that come last at most, and centres of a bucket.
+FREQUENT, HOT, CENTRES = 32, 1 << 18, 2
+LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def prefix(n: int, least: float) -> int:
+def prefix(n: np.ndarray, least: float) -> np.ndarray:
     """How many shingles of n two sets of the similarity can't both have apart."""
-    return n - math.ceil(least * n - 1e-9) + 1 if n else 0
+    return np.where(n > 0, n - np.ceil(least * n - 1e-9).astype(np.int64) + 1, 0)
 
 
-def sets(docs: DataFrame, text: str, id_col: str, words: int) -> DataFrame:
-    """(doc_id, h, k, s): one row for each row of docs; h is the text's hash, s its sorted distinct shingles and k their hash."""
+def shingled(texts: list[str | None], words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the shingles of each text one after the other, in order, repeats included, and their texts."""
+    h, row = hashing.words([(t or "").encode("utf-8", "surrogatepass").translate(LOWER) for t in texts])
+    return hashing.shingles(h, row, words, len(texts))
+
+
+def distinct(h: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes of each row, sorted, one row after the other, and how many each has."""
+    order = np.lexsort((h, row))
+    h, row = h[order], row[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+    return h[new], np.bincount(row[new], minlength=rows)
+
+
+def first_keys(h: np.ndarray, n: np.ndarray, least: float, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The prefixes of sorted sets that lie one after the other, those among `last` (sorted) coming last, and how many each has."""
+    row = np.repeat(np.arange(len(n)), n)
+    at = np.minimum(np.searchsorted(last, h), max(0, len(last) - 1))
+    order = np.lexsort((h, last[at] == h, row)) if len(last) else np.arange(len(h))
+    kept = np.arange(len(h)) - (np.cumsum(n) - n)[row] < prefix(n, least)[row]
+    return h[order][kept], prefix(n, least)
+
+
+def frequent(docs: DataFrame, text: str, words: int, least: float) -> Broadcast:
+    """The shingles, sorted, that are most often among the first of all documents, HOT at most. Those that a task has once aren't counted: what
+    is left out only makes buckets larger, and loses no pair."""
+
+    def counted(keys: list[np.ndarray]) -> pa.RecordBatch:
+        key, n = np.unique(np.concatenate([*keys, np.zeros(0, np.uint64)]), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(key[n > 1].view(np.int64)), pa.array(n[n > 1].astype(np.int64))], names=["key", "n"])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys: list[np.ndarray] = []
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                b = batch.slice(at, 256)
-                found = [np.unique(shingles(t, words)).view(np.int64) for t in b.column(2).to_pylist()]
-                k = pa.array([xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) for s in found], pa.int64())
-                ends = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
-                lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(found)))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), k, lists], names=["doc_id", "h", "k", "s"])
+            for _, texts in chunks(batch.column(0)):
+                keys.append(first_keys(*distinct(*shingled(texts, words), len(texts)), least, np.zeros(0, np.uint64))[0])
+                if sum(map(len, keys)) > 1 << 22:
+                    yield counted(keys)
+                    keys = []
+        yield counted(keys)
+        trim()
+
+    found = docs.select(F.col(text).alias("t")).where("t is not null").mapInArrow(each, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    hot = found.where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "key").limit(HOT).select("key").toArrow()
+    return docs.sparkSession.sparkContext.broadcast(np.sort(hot.column(0).to_numpy().view(np.uint64)))
+
+
+SETS = "doc_id long, h long, k long, k2 long, n int, fp long, keys array<long>"
+
+
+def sets(docs: DataFrame, text: str, id_col: str, words: int, least: float) -> DataFrame:
+    """One row for each row of docs: h is the text's hash, k and k2 the halves of the hash of its set of n shingles, fp its SimHash, keys the prefix."""
+    last = frequent(docs, text, words, least)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, texts in chunks(batch.column(2)):
+                h, row = shingled(texts, words)
+                fp = hashing.simhashes(h, np.bincount(row, minlength=len(texts)))
+                s, n = distinct(h, row, len(texts))
+                keys, m = first_keys(s, n, least, last.value)
+                k = named(s, n)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(m))), pa.int32()), pa.array(keys.view(np.int64)))
+                own = batch.slice(at, len(texts))
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array(n.astype(np.int32)), pa.array(fp), lists], names=["doc_id", "h", "k", "k2", "n", "fp", "keys"])
         trim()
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), F.col(text).alias("t"))
-    return source.mapInArrow(each, "doc_id long, h long, k long, s array<long>")
+    return source.mapInArrow(each, SETS)
+
 
+def named(s: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """(rows, 2): the halves of the 128-bit hash of each set."""
+    ends = np.cumsum(n)
+    digests = b"".join(xxhash.xxh3_128_digest(s[e - m : e].tobytes()) for e, m in zip(ends.tolist(), n.tolist()))
+    return np.ascontiguousarray(np.frombuffer(digests, ">i8").astype(np.int64).reshape(-1, 2).T).T
 
-def keys(own: DataFrame, least: float) -> DataFrame:
-    """(k, n, keys): the shingles of each distinct set under which it meets others, and its size."""
-    first = F.udf(lambda n: prefix(n, least), "int")
-    sample = own.where(F.pmod(F.xxhash64("k"), F.lit(SAMPLE)) == 0).where(F.size("s") > 0).groupBy("k").agg(F.first("s").alias("s"))
-    sample = sample.select(F.explode(F.slice("s", F.lit(1), first(F.size("s")))).alias("key")).groupBy("key").count()
-    hot = sample.where(F.col("count") >= FREQUENT).orderBy(F.desc("count"), "key").limit(HOT)
-    last = own.sparkSession.sparkContext.broadcast(np.sort(np.array([r.key for r in hot.select("key").toLocalIterator()], np.int64)))
+
+def whole_sets(wanted: DataFrame, docs: DataFrame, text: str, words: int) -> DataFrame:
+    """(u, s): the shingles of the sets wanted (u, k, k2), read again from docs; of equal sets, one of each run of texts is sent on."""
+    shared = bitmap(wanted, "k")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = last.value
-        for b in batches:
-            found, sizes = [], []
-            for s in b.column(1):
-                s = s.values.to_numpy()
-                sizes.append(len(s))
-                late = np.isin(s, frequent) if len(frequent) else np.zeros(len(s), bool)
-                found.append(np.concatenate((s[~late], s[late]))[: prefix(len(s), least)])
-            ends = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
-            values = pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(ends, values)], names=["k", "n", "keys"])
+        for batch in batches:
+            for _, texts in chunks(batch.column(0)):
+                s, n = distinct(*shingled(texts, words), len(texts))
+                k = named(s, n)
+                _, first = np.unique(k[:, 0], return_index=True)
+                some = np.sort(first[in_bitmap(shared.value, np.ascontiguousarray(k[first, 0]))])
+                ends = np.cumsum(n)
+                parts = [s[ends[i] - n[i] : ends[i]] for i in some]
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n[some]))), pa.int32()), pa.array(np.concatenate([*parts, np.zeros(0, np.uint64)]).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(k[some, 0]), pa.array(k[some, 1]), lists], names=["k", "k2", "s"])
         trim()
 
-    made = own.select("k", "s").mapInArrow(each, "k long, n int, keys array<long>")
-    return made.groupBy("k").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
+    found = docs.select(F.col(text).alias("t")).mapInArrow(each, "k long, k2 long, s array<long>")
+    found = found.groupBy("k", "k2").agg(F.first("s").alias("s"))
+    return materialise(found.join(wanted, ["k", "k2"]).select("u", "s"), "near-sets")
 
 
-def verified(pairs: DataFrame, own: DataFrame, least: float) -> DataFrame:
+def verified(pairs: DataFrame, own: DataFrame, docs: DataFrame, text: str, words: int, least: float) -> DataFrame:
     """The pairs (a, b) of sets that have the similarity."""
-    wanted = materialise(pairs.select(F.col("a").alias("w")).unionByName(pairs.select(F.col("b").alias("w"))).distinct(), "near-wanted")
-    met = own.select("k", "s").join(buckets(wanted, "w"), bucket(F.col("k")) == F.col("_hash_bucket"), "left_semi")
-    met = met.join(wanted, met.k == wanted.w, "left_semi").groupBy("k").agg(F.first("s").alias("s"))
-    met = materialise(met, "near-sets")
+    ends = pairs.select(F.col("a").alias("u")).unionByName(pairs.select(F.col("b").alias("u"))).distinct()
+    wanted = materialise(own.select("u", "k", "k2").join(ends, "u", "left_semi"), "near-wanted")
+    met = whole_sets(wanted, docs, text, words)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p in batches:
@@ -92,34 +148,36 @@ def verified(pairs: DataFrame, own: DataFrame, least: float) -> DataFrame:
             yield p.select(["a", "b"]).filter(pa.array(alike, pa.bool_()))
         trim()
 
-    both = pairs.join(met.select(F.col("k").alias("a"), F.col("s").alias("sa")), "a").join(met.select(F.col("k").alias("b"), F.col("s").alias("sb")), "b")
+    both = pairs.join(met.select(F.col("u").alias("a"), F.col("s").alias("sa")), "a").join(met.select(F.col("u").alias("b"), F.col("s").alias("sb")), "b")
     return both.select("a", "b", "sa", "sb").mapInArrow(each, "a long, b long")
 
 
-def members(docs: DataFrame, text: str = "text", id_col: str = "doc_id", words: int = WORDS, least: float = SIMILARITY) -> DataFrame:
-    """(doc_id, h, root): the group of each row of docs, whose texts have the hash h. Texts of the same shingles are in one group,
-    as are all that links of the similarity connect; texts without words are a group of their own."""
-    own = materialise(sets(docs, text, id_col, words), "near")
-    keyed = keys(own, least).select("k", "n", F.explode("keys").alias("key"))
-    keyed = materialise(keyed, "near-keyed")
-    shared = keyed.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("k", "n")).alias("centre")).where("m > 1").select("key", "centre")
-    met = materialise(keyed.join(shared, "key"), "near-met")
-    sizes = F.lit(least) * F.greatest("n", "o") - 1e-9 <= F.least("n", "o")
-    stars = met.select("k", "n", F.col("centre.k").alias("c"), F.col("centre.n").alias("o")).where("k <> c").where(sizes)
-    stars = materialise(stars.select(F.col("c").alias("a"), F.col("k").alias("b")).distinct(), "near-stars")
-    starred = materialise(verified(stars, own, least), "near-links")
-    roots = connected(starred)
-    of = materialise(met.join(roots, met.k == roots.node, "left").select("key", "k", "n", F.coalesce("root", "k").alias("root")), "near-rooted")
-    left, right = of.alias("l"), of.select("key", F.col("k").alias("k2"), F.col("n").alias("o"), F.col("root").alias("root2")).alias("r")
-    open_ = (F.col("l.key") == F.col("r.key")) & (F.col("k") < F.col("k2")) & (F.col("root") != F.col("root2")) & sizes
-    rest = materialise(left.join(right, open_).select(F.col("k").alias("a"), F.col("k2").alias("b")).distinct(), "near-rest")
-    rest = rest.join(stars, ["a", "b"], "left_anti")  # compared already
-    roots = materialise(connected(starred.unionByName(verified(rest, own, least))), "near-roots")
-    return own.join(roots, own.k == roots.node, "left").select("doc_id", "h", F.coalesce("root", "k").alias("root"))
-
-
-def first_of_each(docs: DataFrame, text: str = "text", id_col: str = "doc_id", words: int = WORDS, least: float = SIMILARITY) -> DataFrame:
-    """The rows and columns of docs, one of each group of near duplicates, as `keep_first` has it."""
-    with scratch(docs.sparkSession):
-        grouped = materialise(members(docs, text, id_col, words, least), "near-groups", [])
-    return keep_first(docs, grouped, text, id_col)
+def members(docs: DataFrame, proposed, text: str, id_col: str, words: int, least: float) -> DataFrame:
+    """(doc_id, h, root): the group of each row of docs, whose text has the hash h. Texts of the same shingles are in one group,
+    as are all that links of the similarity connect; texts without words are a group of their own.
+
+    proposed gets the distinct sets (u, fp and more) and gives pairs (a, b) of them that are compared first.
+    """
+    rows = materialise(sets(docs, text, id_col, words, least), "near")
+    own = rows.groupBy("k", "k2").agg(*[F.first(c).alias(c) for c in ("n", "fp", "keys")]).withColumn("u", F.monotonically_increasing_id())
+    own = materialise(own, "near-own")
+    keyed = own.select("u", "n", F.explode("keys").alias("key")).repartition("key")  # dealt once, for the sums and the join
+    shared = keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
+    met = materialise(keyed.join(shared.hint("shuffle_hash"), "key", "left_semi"), "near-met")
+    like = lambda n, o: F.lit(least) * F.greatest(n, o) - 1e-9 <= F.least(n, o)
+    centres = met.groupBy("key").agg(F.array_distinct(F.array(*[F.min(F.struct(F.xxhash64("u", F.lit(i)), "u", "n")) for i in range(CENTRES)])).alias("centres"))
+    near = F.transform(F.filter("centres", lambda c: (c["u"] != F.col("u")) & like(F.col("n"), c["n"])), lambda c: c["u"])
+    stars = met.join(centres, "key").select("u", F.explode(near).alias("c")).select(F.least("u", "c").alias("a"), F.greatest("u", "c").alias("b"))
+    first = materialise(stars.unionByName(proposed(own)).distinct(), "near-first")
+    linked = materialise(verified(first, own, docs, text, words, least), "near-links")
+    roots = connected(linked)
+    of = met.join(roots, met.u == roots.node, "left").select("key", "u", "n", F.coalesce("root", "u").alias("root"))
+    split = of.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    of = materialise(of.join(split, "key", "left_semi"), "near-rooted")
+    left, right = of.alias("l"), of.alias("r")
+    open_ = (F.col("l.key") == F.col("r.key")) & (F.col("l.u") < F.col("r.u")) & (F.col("l.root") != F.col("r.root")) & like(F.col("l.n"), F.col("r.n"))
+    rest = left.join(right, open_).select(F.col("l.u").alias("a"), F.col("r.u").alias("b")).distinct()
+    rest = materialise(rest.join(first, ["a", "b"], "left_anti"), "near-rest")  # others are compared already
+    roots = materialise(connected(linked.unionByName(verified(rest, own, docs, text, words, least))), "near-roots")
+    of = materialise(own.join(roots, own.u == roots.node, "left").select("k", "k2", F.coalesce("root", "u").alias("root")), "near-of")
+    return rows.select("doc_id", "h", "k", "k2").join(of, ["k", "k2"]).select("doc_id", "h", "root")

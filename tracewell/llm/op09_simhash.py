@@ -17,10 +17,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucket, buckets, connected, materialise, scratch, table, trim
+from . import near
+from .common import bucket, buckets, connected, materialise, packed, scratch, table, trim
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 SEGMENTS, WIDTH, BITS = 4, 16, 3
+#: Of documents of which one stays: words of a shingle and Jaccard similarity.
+WORDS, SIMILARITY = 5, 0.8
 
 
 def shingles(text: str | None, words: int = 3, seed: int = 42) -> np.ndarray:
@@ -50,17 +53,16 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
     return int(np.packbits(ones * 2 > len(h)).view(">i8")[0])
 
 
-def fingerprints(docs: DataFrame, text: str = "text", id_col: str = "doc_id", words: int = 3, hashed: bool = False) -> DataFrame:
-    """(doc_id, fp): one row for each row of docs; null and empty texts have fingerprint 0. If hashed, h comes too, the text's hash."""
+def fingerprints(docs: DataFrame, text: str = "text", id_col: str = "doc_id", words: int = 3) -> DataFrame:
+    """(doc_id, fp): one row for each row of docs; null and empty texts have fingerprint 0."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             fp = [fingerprint(t, words) for t in b["t"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), **({"h": b["h"]} if hashed else {}), "fp": np.array(fp, np.int64)})
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "fp": np.array(fp, np.int64)})
         trim()
 
-    own = [F.col(id_col).cast("long").alias("doc_id"), *([F.xxhash64(text).alias("h")] if hashed else [])]
-    return docs.select(*own, F.col(text).alias("t")).mapInPandas(each, f"doc_id long, {'h long, ' if hashed else ''}fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("t")).mapInPandas(each, "doc_id long, fp long")
 
 
 def _segment(fp, i: int):
@@ -101,12 +103,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     """(doc_id, fingerprint, component_id): one row for each row of docs, repeated rows included.
 
     component_id is the smallest doc_id that links of at most 3 differing bits reach; null where all of them are null.
-    An empty table gives an empty result; texts without words share fingerprint zero. Other columns are not read.
+    An empty table gives an empty result; texts without words share fingerprint zero; texts of any length are read whole. Other columns are not
+    read, so no names clash.
     """
-    own = materialise(fingerprints(docs, text, id_col, words), "simhash")
-    rooted = _rooted(own)
-    least = materialise(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "simhash-least")
-    of = materialise(rooted.join(least, "root").select("fp", "component_id"), "simhash-of")
+    with scratch(docs.sparkSession):
+        own = materialise(fingerprints(docs, text, id_col, words), "simhash", result=True)
+        rooted = _rooted(own)
+        least = materialise(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "simhash-least")
+        of = materialise(rooted.join(least, "root").select("fp", "component_id"), "simhash-of", result=True)
     return own.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -119,23 +123,39 @@ def keep_first(docs: DataFrame, grouped: DataFrame, text: str, id_col: str) -> D
     pass as they are read.
     """
     place = F.struct("doc_id", "h")
-    many = grouped.groupBy("root").agg(F.count("*").alias("n"), F.min(F.when(F.col("doc_id").isNotNull(), place)).alias("kept")).where("n > 1")
+    many = grouped.groupBy("root").agg(F.count("*").alias("m"), F.min(F.when(F.col("doc_id").isNotNull(), place)).alias("kept")).where("m > 1")
     goes = F.col("kept").isNotNull() & ~place.eqNullSafe(F.col("kept"))
-    marked = grouped.join(many, "root").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), goes.alias("goes"))
-    marked = materialise(marked.distinct(), "near-marked", [])
-    source = docs.select(*docs.columns, bucket(F.xxhash64(text)).alias("_bucket"))
-    met = buckets(marked, "_h")
-    others = source.join(met, F.col("_bucket") == F.col("_hash_bucket"), "left_anti").select(*docs.columns)
-    joined = source.join(met, F.col("_bucket") == F.col("_hash_bucket"), "left_semi").select(*docs.columns)
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_h"))
-    return others.unionByName(joined.join(marked.where("goes"), same, "left_anti").dropDuplicates([id_col, text]))
-
-
-def first_of_each(docs: DataFrame, text: str = "text", id_col: str = "doc_id", words: int = 3) -> DataFrame:
-    """The rows and columns of docs, one of each group of near duplicates, as `keep_first` has it."""
+    marked = grouped.join(many, "root").select("doc_id", "h", goes.alias("goes"))
+    marked = materialise(marked.distinct(), "near-marked")
+    source = docs.select(packed(docs).alias("own"), F.col(id_col).cast("long").alias("i"), F.xxhash64(text).alias("th"), F.col(text).alias("t"))
+    source = source.withColumn("b", bucket(F.col("th")))
+    met = buckets(marked, "h")
+    others = source.join(met, F.col("b") == F.col("_hash_bucket"), "left_anti")
+    joined = source.join(met, F.col("b") == F.col("_hash_bucket"), "left_semi")
+    same = F.col("i").eqNullSafe(F.col("doc_id")) & (F.col("th") == F.col("h"))
+    left = joined.join(marked.where("goes"), same, "left_anti").dropDuplicates(["i", "t"])
+    return others.select("own").unionByName(left.select("own")).select("own.*")
+
+
+def proposed(own: DataFrame) -> DataFrame:
+    """(a, b), a < b: sets (u, fp) whose SimHashes are within 3 bits, each through the first set of its SimHash."""
+    fps = materialise(own.groupBy("fp").agg(F.min("u").alias("u")), "simhash-fp")
+    first = lambda c: fps.select(F.col("fp").alias(c), F.col("u").alias(f"u{c}"))
+    linked = pairs(fps.select("fp")).distinct().join(first("a"), "a").join(first("b"), "b").select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b"))
+    same = own.select("fp", F.col("u").alias("o")).join(fps, "fp").where("o <> u").select(F.col("u").alias("a"), F.col("o").alias("b"))
+    return linked.unionByName(same)
+
+
+def first_of_each(docs: DataFrame, text: str = "text", id_col: str = "doc_id", words: int = WORDS, least: float = SIMILARITY) -> DataFrame:
+    """The rows and columns of docs, one of each group of near duplicates, as `keep_first` has it: links are all pairs whose shingles of `words`
+    words have a Jaccard similarity of `least` or more.
+
+    Pairs of SimHashes that pigeonring filtering finds are compared first, on their whole sets of shingles. Texts of that similarity differ in
+    more than 3 bits, mostly, so `near` finds all others. Null, empty and wordless texts are one group; very long texts take part whole; repeated rows
+    are one; an empty table gives an empty result; no column names clash.
+    """
     with scratch(docs.sparkSession):
-        own = materialise(fingerprints(docs, text, id_col, words, True), "simhash")
-        grouped = materialise(own.join(_rooted(own), "fp").select("doc_id", "h", "root"), "simhash-groups", [])
+        grouped = materialise(near.members(docs, proposed, text, id_col, words, least), "near-groups", result=True)
     return keep_first(docs, grouped, text, id_col)
 
 

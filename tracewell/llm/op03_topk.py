@@ -9,26 +9,31 @@ so ties are kept.
 
 from __future__ import annotations
 
+import math
+import sys
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, table
+from .common import materialise, scratch, table
 
 SCALE, TOP, QUERY_BYTES = 1024, 10, 32 << 20
 #: Numbers of segments, coarse to fine; those over a vector's length aren't used.
 LEVELS = (1, 4, 16)
+#: Components from here on have no bounds; a number above any score.
+HUGE, WIDEST = 2.0**400, 1 << 2300
 
 
 def integers(vectors: list) -> tuple[np.ndarray, np.ndarray]:
-    """floor(SCALE x) of the vectors (all of one length) as float64, and which of them take part."""
+    """floor(SCALE x) of the vectors (all of one length) as float64, infinite where that overflows, and which of the vectors take part."""
     x = np.array([np.asarray(v, np.float64) for v in vectors])
+    ok = np.isfinite(x).all(axis=1)
     with np.errstate(over="ignore", invalid="ignore"):
-        x = np.floor(SCALE * x)
-    return x, np.isfinite(x).all(axis=1)
+        return np.floor(SCALE * x), ok
 
 
 def statistics(x: np.ndarray) -> list[np.ndarray]:
@@ -43,109 +48,154 @@ def statistics(x: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Integer inner products row by row; Python integers where 64 bits might not hold a sum."""
-    big = max(float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1], float(np.abs(a).max(initial=0)), float(np.abs(b).max(initial=0)))
-    if big < 2**62:
+def norms(x: np.ndarray) -> np.ndarray:
+    return np.sqrt((x * x).sum(axis=1))
+
+
+def _whole(x: float, raw: float) -> int:
+    return int(x) if math.isfinite(x) else SCALE * int(raw)  # so large a number is whole
+
+
+def exact(a: np.ndarray, b: np.ndarray, raw_a: np.ndarray, raw_b: np.ndarray) -> np.ndarray:
+    """Integer inner products row by row: 64-bit ones, or Python's where a sum might not fit (the array then holds objects)."""
+    most_a, most_b = np.abs(a).max(axis=1, initial=0), np.abs(b).max(axis=1, initial=0)
+    with np.errstate(over="ignore", invalid="ignore"):
+        small = (most_a < 2.0**62) & (most_b < 2.0**62) & (most_a * most_b * a.shape[1] < 2.0**62)
+    if small.all():
         return np.einsum("ij,ij->i", a.astype(np.int64), b.astype(np.int64))
-    sums = [sum(int(p) * int(q) for p, q in zip(r, s)) for r, s in zip(a, b)]
-    if any(abs(s) >= 2**63 for s in sums):
-        raise OverflowError("a score has over 64 bits")
-    return np.array(sums, np.int64)
+    out = np.empty(len(a), object)
+    out[small] = np.einsum("ij,ij->i", a[small].astype(np.int64), b[small].astype(np.int64))
+    for i in np.flatnonzero(~small):
+        out[i] = sum(_whole(p, rp) * _whole(q, rq) for p, rp, q, rq in zip(a[i], raw_a[i], b[i], raw_b[i]))
+    return out
+
+
+def first(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Which are the k largest scores, ties by the smaller id."""
+    if scores.dtype == object:
+        return np.array(sorted(range(len(ids)), key=lambda i: (-scores[i], ids[i]))[:k], np.int64)
+    return np.lexsort((ids, -scores))[:k]
 
 
 class Best:
-    """The k best (score, id) of every query of a block so far."""
+    """The k best (score, id) of every query of a block so far. queries: their numbers, ids and vectors."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray, k: int):
-        self.ids, self.x, self.k, self.stats = ids, x, k, statistics(x)
+    def __init__(self, numbers: np.ndarray, ids: np.ndarray, raw: np.ndarray, k: int):
+        self.numbers, self.ids, self.raw, self.k = numbers, ids, raw, k
+        self.x, _ = integers(list(raw))
+        self.stats, self.norms = self._bounds(self.x)
         self.scores: list[np.ndarray] = [np.empty(0, np.int64)] * len(ids)
         self.found: list[np.ndarray] = [np.empty(0, np.int64)] * len(ids)
         self.least = np.full(len(ids), -np.inf)
 
-    def offer(self, ids: np.ndarray, x: np.ndarray) -> None:
-        stats = statistics(x)
+    @staticmethod
+    def _bounds(x: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """Statistics and norms; rows too large for their squares are infinitely long, so that no bound drops them."""
+        huge = ~(np.abs(x).max(axis=1, initial=0) < HUGE)
+        y = np.where(huge[:, None], 0.0, x)
+        return statistics(y), np.where(huge, np.inf, norms(y))
+
+    def _slack(self, m: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """What rounding can take from a bound: it goes with both norms, not with the sum, whose terms may cancel out."""
+        with np.errstate(invalid="ignore"):
+            s = (self.x.shape[1] + 64) * 1e-15 * m * n + 1
+        return np.where(np.isnan(s), np.inf, s)
+
+    def offer(self, ids: np.ndarray, raw: np.ndarray) -> None:
+        x, _ = integers(list(raw))
+        stats, sizes = self._bounds(x)
         for at in range(0, len(self.ids), 256):
             rows = slice(at, min(at + 256, len(self.ids)))
             least = self.least[rows, None]
-            q, c = np.nonzero(self._bound(self.stats[0][rows], stats[0]) >= least)
+            bound = self.stats[0][rows] @ stats[0].T
+            q, c = np.nonzero(bound + self._slack(self.norms[rows, None], sizes[None, :]) >= least)
             for level in range(1, len(stats)):
                 ok = []
                 for a in range(0, len(q), 200_000):  # bounded memory
                     i, j = q[a : a + 200_000], c[a : a + 200_000]
                     b = np.einsum("ij,ij->i", self.stats[level][at + i], stats[level][j])
-                    ok.append(b + 1e-9 * np.abs(b) + 1 >= least[i, 0])
+                    ok.append(b + self._slack(self.norms[at + i], sizes[j]) >= least[i, 0])
                 keep = np.concatenate([*ok, np.empty(0, bool)])
                 q, c = q[keep], c[keep]
             keep = self.ids[at + q] != ids[c]
             q, c = q[keep], c[keep]
-            score = np.concatenate([*(exact(self.x[at + q[a : a + 100_000]], x[c[a : a + 100_000]]) for a in range(0, len(q), 100_000)), np.empty(0, np.int64)])
+            parts = [(at + q[a : a + 100_000], c[a : a + 100_000]) for a in range(0, len(q), 100_000)]
+            score = np.concatenate([*(exact(self.x[i], x[j], self.raw[i], raw[j]) for i, j in parts), np.empty(0, np.int64)])
             cuts = np.searchsorted(q, np.arange(rows.stop - at + 1))
             for i in np.flatnonzero(np.diff(cuts)):
                 part = slice(cuts[i], cuts[i + 1])
                 s = np.concatenate((self.scores[at + i], score[part]))
                 f = np.concatenate((self.found[at + i], ids[c[part]]))
-                order = np.lexsort((f, -s))[: self.k]
+                order = first(s, f, self.k)
                 self.scores[at + i], self.found[at + i] = s[order], f[order]
                 if len(order) == self.k:
-                    self.least[at + i] = float(s[order[-1]])
-
-    @staticmethod
-    def _bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        m = a @ b.T
-        return m + 1e-9 * np.abs(m) + 1
+                    self.least[at + i] = _double(int(s[order[-1]]))
 
     def rows(self) -> pd.DataFrame:
         n = [len(s) for s in self.scores]
-        return pd.DataFrame({"query_id": np.repeat(self.ids, n), "vec_id": np.concatenate([*self.found, np.empty(0, np.int64)]), "score": np.concatenate([*self.scores, np.empty(0, np.int64)])})
+        score = np.concatenate([*self.scores, np.empty(0, np.int64)])
+        whole = [int(s) for s in score] if score.dtype == object else None
+        return pd.DataFrame(
+            {
+                "q": np.repeat(self.numbers, n),
+                "query_id": np.repeat(self.ids, n),
+                "vec_id": np.concatenate([*self.found, np.empty(0, np.int64)]),
+                "score": score if whole is None else np.array([min(max(s, -(2**63)), 2**63 - 1) for s in whole], np.int64),
+                # Beyond 64 bits scores are told apart by their bytes, which sort as the numbers do.
+                "beyond": [b""] * len(score) if whole is None else [(s + WIDEST).to_bytes(300, "big") if not -(2**63) < s < 2**63 else b"" for s in whole],
+            }
+        )
+
+
+def _double(score: int) -> float:
+    try:
+        return float(score)
+    except OverflowError:
+        return -math.inf if score < 0 else sys.float_info.max
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP, id_col: str = "vec_id", vector: str = "embedding", query_bytes: int = QUERY_BYTES) -> DataFrame:
     """(query_id long, rank int, vec_id long, score long): the k rows of `vectors` with the largest scores for each row of
     `queries`, the query's own id left out, ties to the smaller id; all of them if there are fewer.
 
-    Rows with a null id or vector, a null or non-finite component take no part; only vectors of one length are compared.
-    Rows that repeat an id count as many times as they occur. The queries are dealt into blocks of at most query_bytes, broadcast one
-    after the other; each block scans all rows, and its result is written before the next.
+    Rows with a null id or vector, an empty one, a null or non-finite component take no part; only vectors of one length are compared.
+    Rows of `vectors` that repeat an id count as many times as they occur; rows of `queries` that repeat an id and its vector are one query, and
+    with another vector a query of its own, of the same query_id. Scores are exact for all finite numbers; one beyond 64 bits is ranked as it
+    is and given as the largest or smallest long. Empty tables give an empty result; other columns aren't read, so no names clash. The
+    queries are dealt into blocks of at most query_bytes, broadcast one after the other; each block scans all rows, and its result is written
+    before the next.
     """
     spark = vectors.sparkSession
-    usable = F.col("i").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull())
+    usable = F.col("i").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     pick = lambda df: df.select(F.col(id_col).cast("long").alias("i"), F.col(vector).cast("array<double>").alias("v")).where(usable & (F.size("v") > 0))
-    source, asked = pick(vectors), pick(queries).withColumn("n", F.size("v"))
-    sizes = asked.groupBy("n").agg(F.count("*").alias("c")).collect()  # a row for each length of vector
-    schema, parts, made = "query_id long, vec_id long, score long", [], []
-    asked = materialise(asked, "topk-queries", made)
-    for n, c in sorted((r.n, r.c) for r in sizes):
-        blocks = -(-c * n * 8 // query_bytes)
-        for block in range(blocks):
-            mine = asked.where((F.col("n") == n) & (F.pmod(F.xxhash64("i"), F.lit(blocks)) == block)).select("i", "v").collect()
-            ids = np.array([r.i for r in mine], np.int64)
-            x, ok = integers([r.v for r in mine]) if mine else (np.empty((0, n)), np.empty(0, bool))
-            if not ok.any():
-                continue
-            shared = spark.sparkContext.broadcast((ids[ok], x[ok]))
-
-            def each(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-                best = Best(*shared.value, k)
-                for b in batches:
-                    for a in range(0, len(b), 2048):
-                        part = b.iloc[a : a + 2048]
-                        cx, cok = integers(part["v"].tolist())
-                        if cok.any():
-                            best.offer(part["i"].to_numpy(np.int64)[cok], cx[cok])
-                yield best.rows()
-
-            near = source.where(F.size("v") == n).mapInPandas(each, schema)
-            ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-            parts.append(materialise(ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "topk"))
-            shared.unpersist()
-    discard(spark, made)
+    source, schema, parts = pick(vectors), "q long, query_id long, vec_id long, score long, beyond binary", []
+    with scratch(spark):
+        asked = materialise(pick(queries).distinct().select(F.monotonically_increasing_id().alias("q"), "i", "v", F.size("v").alias("n")), "topk-queries")
+        sizes = asked.groupBy("n").agg(F.count("*").alias("c")).collect()  # a row for each length of vector
+        for n, c in sorted((r.n, r.c) for r in sizes):
+            blocks = -(-c * n * 8 // query_bytes)
+            for block in range(blocks):
+                mine = asked.where((F.col("n") == n) & (F.pmod(F.xxhash64("q"), F.lit(blocks)) == block)).select("q", "i", "v").collect()
+                if not mine:
+                    continue
+                shared = spark.sparkContext.broadcast((np.array([r.q for r in mine], np.int64), np.array([r.i for r in mine], np.int64), np.array([r.v for r in mine], np.float64)))
+
+                def each(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+                    best = Best(*shared.value, k)
+                    for b in batches:
+                        for a in range(0, len(b), 2048):
+                            part = b.iloc[a : a + 2048]
+                            best.offer(part["i"].to_numpy(np.int64), np.stack(part["v"].to_list()).astype(np.float64))
+                    yield best.rows()
+
+                near = source.where(F.size("v") == n).mapInPandas(each, schema)
+                place = Window.partitionBy("q").orderBy(F.desc("score"), F.desc("beyond"), "vec_id")
+                ranked = near.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
+                parts.append(materialise(ranked.select("query_id", "rank", "vec_id", "score"), "topk", result=True))
+                shared.unpersist()
     if not parts:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return reduce(DataFrame.unionByName, parts)
 
 
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

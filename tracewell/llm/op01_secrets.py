@@ -1,22 +1,24 @@
 """Operator 1: secrets, by fixed patterns and by a battery of randomness tests with false-discovery control.
 
 Candidates are runs of at least `LEAST` characters of the base64 alphabets outside the patterns' spans. Each gets the smallest
-encoding that holds all its characters. It passes the battery if the chi-squared test of a uniform alphabet, the runs test of upper
-and lower alphabet halves and the lag-1 serial correlation, combined by Fisher's method, don't reject a random string.
-Against chance, its evidence is the likelihood ratio of the uniform encoding to the corpus's own character pairs. Under
-natural text that ratio is at least x with probability at most 1 / x, so 1 / ratio is a p-value that longer strings make smaller by
-themselves; Benjamini-Hochberg over all candidates of the same encoding and class of length sets the bound.
+encoding that holds all its characters, and a battery's p-value of being random in it: the chi-squared test of a uniform alphabet, the runs test
+of upper and lower alphabet halves and the lag-1 serial correlation, combined by Fisher's method. Candidates are grouped by encoding and class of
+length, and Benjamini-Hochberg runs over each group twice. First on the battery's p-values: what it finds not to be random goes. Then against chance,
+on the rest: the likelihood ratio of the uniform encoding to the corpus's own character pairs is, under natural text, at least x with
+probability at most 1 / x, so its inverse is a p-value, which longer strings make smaller by themselves; it is divided by the battery's p-value, so
+the less random a string looks, the more its other evidence must say.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialise, table
@@ -25,7 +27,7 @@ KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile("AKIA[A-Z0-9]+")
 HEX = re.compile("[0-9a-f]{32,}")  # of a run [0-9a-f]+ under 32 no part has 32
-LEAST, BATTERY, DISCOVERY, LONGEST_LOG = 20, 1e-3, 1e-3, 1000
+LEAST, BATTERY, DISCOVERY, LONGEST_LOG, ODDEST = 20, 1e-3, 1e-3, 1000, 100
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{%d,}={0,2}" % LEAST)
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Encodings in order of size; a string takes the first that holds all its characters.
@@ -119,14 +121,42 @@ def judge(token: str, model: np.ndarray) -> tuple[str, float, float] | None:
     return None
 
 
+def merged(spans: list[tuple[int, int, str]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the union of sorted spans."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for s, e, _ in spans:
+        if ends and s <= ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    return starts, ends
+
+
+def candidates(text: str, base: list[tuple[int, int, str]], model: np.ndarray) -> Iterator[tuple[int, int, str, int, int]]:
+    """(start, end, encoding, whole bits of evidence, whole bits against randomness) of the candidates that overlap no span of base."""
+    starts, ends = merged(base)
+    for c in CANDIDATE.finditer(text):
+        s, e = c.span()
+        i = bisect.bisect_right(ends, s)
+        if i < len(starts) and starts[i] < e:
+            continue
+        if found := judge(c.group(), model):
+            odd = -math.log2(max(found[1], 1e-300))
+            yield s, e, found[0], max(0, min(LONGEST_LOG, math.floor(found[2] - odd))), min(ODDEST, math.floor(odd))
+
+
 def scan(docs: DataFrame, text: str = "text", id_col: str = "doc_id", discovery: float = DISCOVERY) -> DataFrame:
-    """(doc_id, spans array<struct<start, end, kind, encoding>>): one row for each row of docs; null and empty texts have no spans.
+    """(doc_id, spans array<struct<start, end, kind, encoding>>): one row for each row of docs, repeated rows included.
 
-    The fixed patterns' spans are always there; a random string's span never overlaps them. start and end are code points.
+    The fixed patterns' spans are always there; a random string's span never overlaps them. start and end are code points, spans come by start,
+    then kind as listed. Null and empty texts have no spans; texts of any length are scanned whole; an empty table gives an empty result. A string
+    that repeats is as many candidates. Other columns aren't read, so no names clash.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("t"))
     model = docs.sparkSession.sparkContext.broadcast(log_model(pair_counts(docs, text)))
-    span = "array<struct<start:int,end:int,kind:string,encoding:string,bits:int>>"
+    span = "array<struct<start:int,end:int,kind:string,encoding:string,bits:int,odd:int>>"
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = model.value
@@ -136,38 +166,37 @@ def scan(docs: DataFrame, text: str = "text", id_col: str = "doc_id", discovery:
                 spans: list[tuple] = []
                 if t and (":" in t or "=" in t or max(map(len, t.split()), default=0) >= 16):
                     base = base_spans(t)
-                    spans = [(s, e, k, "", 0) for s, e, k in base]
-                    for c in CANDIDATE.finditer(t):
-                        s, e = c.span()
-                        if any(x < e and s < y for x, y, _ in base):
-                            continue
-                        if (found := judge(c.group(), m)) and found[1] >= BATTERY:
-                            spans.append((s, e, "random", found[0], max(0, min(LONGEST_LOG, math.floor(found[2])))))
+                    spans = [(s, e, k, "", 0, 0) for s, e, k in base]
+                    spans += [(s, e, "random", name, bits, odd) for s, e, name, bits, odd in candidates(t, base, m)]
                 out.append(spans)
             yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "spans": out})
 
+    # Kept while the result is read: it is all that the result is made from.
     found = materialise(source.mapInPandas(each, f"doc_id long, spans {span}"), "secrets")
-    candidates = found.select(F.explode(F.filter("spans", lambda s: s["kind"] == "random")).alias("s"))
-    group = F.floor(F.log2((F.col("s.end") - F.col("s.start")) / LEAST)).cast("int")
-    counted = candidates.groupBy(F.col("s.encoding").alias("encoding"), group.alias("size"), F.col("s.bits").alias("bits")).count()
-    # At most LONGEST_LOG + 1 rows for each encoding and class of length (a power of two).
-    bounds = thresholds([(r.encoding, r.size, r.bits, r["count"]) for r in counted.collect()], discovery)
-    least = F.create_map(*[F.lit(x) for (e, s), bits in bounds.items() for x in (f"{e}:{s}", bits)]) if bounds else None
-
-    def keep(s):
-        if least is None:
-            return s["kind"] != "random"
-        name = F.concat_ws(":", s["encoding"], F.floor(F.log2((s["end"] - s["start"]) / LEAST)).cast("int").cast("string"))
-        return (s["kind"] != "random") | (s["bits"] >= F.coalesce(F.try_element_at(least, name), F.lit(LONGEST_LOG + 1)))
-
-    rank = {k: i for i, k in enumerate(KINDS)}
-    order = F.create_map(*[F.lit(x) for kv in rank.items() for x in kv])
-    kept = F.transform(F.filter("spans", keep), lambda s: F.struct(s["start"].alias("start"), F.element_at(order, s["kind"]).alias("k"), s["end"].alias("end"), s["kind"].alias("kind"), s["encoding"].alias("encoding")))
+    size = lambda s: F.floor(F.log2((s["end"] - s["start"]) / LEAST)).cast("int")
+    group = lambda s: F.concat_ws(":", s["encoding"], size(s).cast("string"))
+
+    def bounds(spans: Column, field: str, level: float) -> Column | None:
+        """The bounds of the groups, as a map: a row for each of LONGEST_LOG + 1 numbers at most of each encoding and class of length (a power of two)."""
+        one = found.select(F.explode(F.filter(spans, lambda s: s["kind"] == "random")).alias("s")).select("s.*")
+        one = one.groupBy("encoding", size({c: F.col(c) for c in ("start", "end")}).alias("size"), F.col(field).alias("bits")).count()
+        least = thresholds([(r.encoding, r.size, r.bits, r["count"]) for r in one.collect()], level)
+        return F.create_map(*[F.lit(x) for (e, n), bits in least.items() for x in (f"{e}:{n}", bits)]) if least else None
+
+    def passing(spans: Column, ok: Callable[[Column], Column]) -> Column:
+        return F.filter(spans, lambda s: (s["kind"] != "random") | ok(s))
+
+    odd = bounds(F.col("spans"), "odd", BATTERY)
+    spans = F.col("spans") if odd is None else passing(F.col("spans"), lambda s: s["odd"] < F.coalesce(F.try_element_at(odd, group(s)), F.lit(ODDEST + 1)))
+    least = bounds(spans, "bits", discovery)
+    kept = passing(spans, lambda s: F.lit(False) if least is None else s["bits"] >= F.coalesce(F.try_element_at(least, group(s)), F.lit(LONGEST_LOG + 1)))
+    order = F.create_map(*[F.lit(x) for kv in {k: i for i, k in enumerate(KINDS)}.items() for x in kv])
+    kept = F.transform(kept, lambda s: F.struct(s["start"].alias("start"), F.element_at(order, s["kind"]).alias("k"), s["end"].alias("end"), s["kind"].alias("kind"), s["encoding"].alias("encoding")))
     return found.select("doc_id", F.transform(F.array_sort(kept), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["encoding"].alias("encoding"))).alias("spans"))
 
 
 def thresholds(counts: list[tuple[str, int, int, int]], discovery: float) -> dict[tuple[str, int], int]:
-    """The fewest bits of evidence that Benjamini-Hochberg lets pass, by encoding and class of length, from counts of whole bits."""
+    """The fewest bits (a p-value of 2^-bits at most) that Benjamini-Hochberg rejects at, by encoding and class of length, from counts of whole bits."""
     groups: dict[tuple[str, int], dict[int, int]] = {}
     for encoding, size, bits, n in counts:
         g = groups.setdefault((encoding, size), {})
@@ -190,4 +219,4 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     base = F.filter("spans", lambda s: s["kind"] != "random")
     number = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", *map(number, KINDS), F.sha2(line(base), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *map(number, KINDS[:3]), F.sha2(line(base), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"), number("random"))

@@ -10,13 +10,14 @@ the shards return. Nodes of a round are handled in batches of numpy arrays.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import discard, materialise, scratch, table
 
 TOP, SHARD_ROWS, QUERY_BYTES = 5, 2048, 32 << 20
 DEGREE, BEAM, WIDTH, ALPHA, BATCH = 24, 64, 4, 1.2, 256
@@ -24,6 +25,16 @@ DEGREE, BEAM, WIDTH, ALPHA, BATCH = 24, 64, 4, 1.2, 256
 ENTRIES, RANDOM, SEARCH_BEAM = 16, 16, 128
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """The rows times powers of two that bring their largest components below 1: cosines stay the same to the last bit, and no square overflows."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
+def units(x: np.ndarray) -> np.ndarray:
+    """Scaled rows as float32 unit vectors, for the search."""
+    return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+
+
 def beam_search(x: np.ndarray, graph: np.ndarray, start: np.ndarray, q: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
     """(ids, similarities) of the best `beam` nodes for each row of q, best first; -1 and -inf where there are fewer."""
     n, rows = len(q), np.arange(len(q))[:, None]
@@ -121,7 +132,7 @@ def index(vectors: DataFrame, k: int = TOP, id_col: str = "vec_id", vector: str
     among the k nearest of any row. Rows that repeat an id and its vector are one row."""
     ok = F.col("i").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = vectors.select(F.col(id_col).cast("long").alias("i"), F.col(vector).cast("array<double>").alias("v")).where(ok).distinct()
-    rows = materialise(rows.withColumn("dim", F.size("v")), "ann-rows")
+    rows = materialise(rows.withColumn("dim", F.size("v")), "ann-rows")  # read again when the index is
     shards = {r.dim: -(-r.c // shard_rows) for r in rows.groupBy("dim").agg(F.count("*").alias("c")).collect()}
     if not shards:
         return vectors.sparkSession.createDataFrame([], INDEX)
@@ -134,8 +145,7 @@ def index(vectors: DataFrame, k: int = TOP, id_col: str = "vec_id", vector: str
         order = np.lexsort((ids, of.ravel()))
         cuts = np.searchsorted(of.ravel()[order], np.arange(len(x) + 1))
         members = [ids[order[a:z]][: k + 1].tolist() for a, z in zip(cuts[:-1], cuts[1:])]
-        unit = x / np.abs(x).max(axis=1, keepdims=True)
-        graph, start = build((unit / np.linalg.norm(unit, axis=1, keepdims=True)).astype(np.float32))
+        graph, start = build(units(scaled(x)))
         return pd.DataFrame({"dim": [b["dim"].iloc[0]], "shard": [b["shard"].iloc[0]], "n": [len(x)], "start": [start.tolist()], "vectors": [x.tobytes()], "graph": [graph.tobytes()], "members": [members]})
 
     return rows.groupBy("dim", "shard").applyInPandas(make, INDEX)
@@ -147,7 +157,8 @@ def search(idx: DataFrame, queries: DataFrame, k: int = TOP, id_col: str = "vec_
     query_bytes are broadcast one after the other, and each block's result is written before the next."""
     spark = idx.sparkSession
     asked = queries.select(F.col(id_col).cast("long").alias("i"), F.col(vector).cast("array<double>").alias("v")).where("i is not null and v is not null and size(v) > 0").distinct()
-    asked = materialise(asked.withColumn("n", F.size("v")), "ann-queries")
+    made: list[str] = []
+    asked = materialise(asked.withColumn("n", F.size("v")), "ann-queries", made)
     parts = []
     for n, c in sorted((r.n, r.c) for r in asked.groupBy("n").agg(F.count("*").alias("c")).collect()):
         blocks = -(-c * n * 8 // query_bytes)
@@ -162,15 +173,13 @@ def search(idx: DataFrame, queries: DataFrame, k: int = TOP, id_col: str = "vec_
 
             def each(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
                 ids, q = shared.value
-                qn = np.linalg.norm(q, axis=1)
-                unit = (q / np.abs(q).max(axis=1, keepdims=True))
-                unit = (unit / np.linalg.norm(unit, axis=1, keepdims=True)).astype(np.float32)
+                q = scaled(q)
+                unit, qn = units(q), np.sqrt((q * q).sum(axis=1))
                 for b in batches:
                     for s in b.itertuples():
-                        x = np.frombuffer(s.vectors, np.float64).reshape(s.n, s.dim)
-                        xu = x / np.abs(x).max(axis=1, keepdims=True)
-                        xu = (xu / np.linalg.norm(xu, axis=1, keepdims=True)).astype(np.float32)
-                        graph, xn = np.frombuffer(s.graph, np.int32).reshape(s.n, DEGREE), np.linalg.norm(x, axis=1)
+                        x = scaled(np.frombuffer(s.vectors, np.float64).reshape(s.n, s.dim))
+                        xu, xn = units(x), np.sqrt((x * x).sum(axis=1))
+                        graph = np.frombuffer(s.graph, np.int32).reshape(s.n, DEGREE)
                         out = []
                         for at in range(0, len(q), BATCH):
                             found, _ = beam_search(xu, graph, np.asarray(s.start), unit[at : at + BATCH], SEARCH_BEAM)
@@ -183,16 +192,15 @@ def search(idx: DataFrame, queries: DataFrame, k: int = TOP, id_col: str = "vec_
 
             near = idx.where(F.col("dim") == n).select("dim", "n", "start", "vectors", "graph", "members").mapInPandas(each, "query_id long, vec_id long, score double")
             ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-            parts.append(materialise(ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "ann"))
+            parts.append(materialise(ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "ann", result=True))
             shared.unpersist()
+    discard(spark, made)
     if not parts:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return reduce(DataFrame.unionByName, parts)
 
 
 def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
-    return search(materialise(index(vectors), "ann-index"), vectors.where("vec_id % 50 = 0"))
+    with scratch(spark):
+        return search(materialise(index(vectors), "ann-index"), vectors.where("vec_id % 50 = 0"))

@@ -17,10 +17,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, trim
+from .common import packed, table, trim
 
 #: Hashed dimensions, centroids for a language, and the bound of the sample: rows for a language.
 DIMS, CENTROIDS, SAMPLE = 1 << 13, 4, 600
+#: Languages at most: their sample and centroids have room on the driver.
+MAX_LANGUAGES = 250
 #: Rejection below this share of the smallest cosine that a language's sampled rows of TYPICAL n-grams or more have; the
 #: cosine of a shorter text falls with the root of its length, and so does the bound.
 SLACK, TYPICAL = 0.4, 1024
@@ -121,12 +123,15 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id") -> Model | None:
-    """Learns from rows with an id, a text and a language that aren't held out; None if there is none."""
+    """Learns from rows with an id, a text and a language that aren't held out, repeated rows as often as they occur; None if there is none.
+    Over MAX_LANGUAGES languages are an error."""
     source = docs.select(F.col(id_col).alias("i"), F.col(text).alias("t"), F.col(lang).cast("string").alias("l"))
     train = source.where(F.col("i").isNotNull() & F.col("t").isNotNull() & F.col("l").isNotNull() & ~held_out("i"))
-    rows = {r.l: r.n for r in train.groupBy("l").agg(F.count("*").alias("n")).collect()}
+    rows = {r.l: r.n for r in train.groupBy("l").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
     if not rows:
         return None
+    if len(rows) > MAX_LANGUAGES:
+        raise ValueError(f"over {MAX_LANGUAGES} languages")
 
     def frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = np.zeros(DIMS, np.int64)
@@ -182,22 +187,26 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "
 
 def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """The columns of docs and lang_pred string, score double (the cosine, 0 to 1), rejected boolean; docs' own columns of these
-    names are replaced. Null texts and texts without letters are `und`, score 0, rejected; so is every text if there is no model."""
-    own = [f for f in docs.schema if f.name not in ("lang_pred", "score", "rejected")]
-    schema = "lang_pred string, score double, rejected boolean"
+    names are replaced, all others come through, whatever their names. Null texts and texts without letters are `und`, score 0, rejected; so is
+    every text if there is no model. Each row is judged by its whole text alone, repeated ones alike; of equally near centroids the first counts. An
+    empty table gives an empty result."""
+    given = ("lang_pred", "score", "rejected")
+    own = [c for c in docs.columns if c not in given]
     if model is None:
-        return docs.select(*[f.name for f in own], F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    @F.pandas_udf(schema)
-    def classify(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for t in texts:
-            lang, score, rejected = shared.value.predict([None if x is None else x for x in t])
-            yield pd.DataFrame({"lang_pred": lang, "score": score, "rejected": rejected})
-        trim()
-
-    found = docs.select(*[f.name for f in own], classify(F.col(text)).alias("_found"))
-    return found.select(*[f.name for f in own], "_found.lang_pred", "_found.score", "_found.rejected")
+        found = F.struct(F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"))
+    else:
+        shared = docs.sparkSession.sparkContext.broadcast(model)
+
+        @F.pandas_udf("lang_pred string, score double, rejected boolean")
+        def classify(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            for t in texts:
+                lang, score, rejected = shared.value.predict([None if x is None else x for x in t])
+                yield pd.DataFrame({"lang_pred": lang, "score": score, "rejected": rejected})
+            trim()
+
+        found = classify(F.col(text))
+    both = docs.select(packed(docs, given).alias("own"), found.alias("found"))
+    return both.select(*[F.col("own").getField(c).alias(c) for c in own], *[F.col("found").getField(c).alias(c) for c in given])
 
 
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,9 +17,9 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import discard, materialise, packed, table
 
-GRID, BLOCK_TOKENS, SEED, REPETITION, MAX_SOURCES = 1_000_000, 100_000, "mix", 2.0, 100_000
+GRID, BLOCK_TOKENS, SEED, REPETITION, MAX_SOURCES, PART_DIGITS = 1_000_000, 100_000, "mix", 2.0, 100_000, 3
 
 
 def words(text: str = "text") -> Column:
@@ -65,6 +65,12 @@ def _key(*parts: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(SEED), *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]))
 
 
+def crossing(sums: DataFrame, key: str, base: Column) -> DataFrame:
+    """The row of each source, by key, with which the sum of t from base on reaches `rest`, and before, the sum of those before it."""
+    before = base + F.sum("t").over(Window.partitionBy("name").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)) - F.col("t")
+    return sums.withColumn("before", before).where("before < rest and rest <= before + t")
+
+
 def plan(docs: DataFrame, text: str = "text", id_col: str = "doc_id", source: str = "source", entropy: float | None = None, repetition: float | None = REPETITION, total: int | None = None, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """The columns of docs and tokens, block, epochs, extra (long): a row for each row of docs, which is taken epochs times in whole
     passes and extra times, 0 or 1, in the pass in part. Own columns of these names are replaced.
@@ -75,7 +81,8 @@ def plan(docs: DataFrame, text: str = "text", id_col: str = "doc_id", source: st
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("string").alias("i"), F.md5(text).alias("h"), F.col(source).cast("string").alias("s"), F.greatest(words(text), F.lit(1).cast("long")).alias("tokens"))
-    rows = materialise(rows, "mix-rows")
+    made_tables: list[str] = []
+    rows = materialise(rows, "mix-rows", made_tables)
     totals = [(r.s, r.n) for r in rows.groupBy("s").agg(F.sum("tokens").alias("n")).limit(MAX_SOURCES + 1).collect()]
     if len(totals) > MAX_SOURCES:
         raise ValueError(f"over {MAX_SOURCES} sources")
@@ -92,21 +99,25 @@ def plan(docs: DataFrame, text: str = "text", id_col: str = "doc_id", source: st
 
     sources = spark.createDataFrame(made, "name string, n long, epochs long, rest long, blocks long")
     all_rows = dealt(rows, sources)
-    sums = all_rows.where("rest > 0").groupBy("name", "block", "bk", "rest").agg(F.sum("tokens").alias("t"))
-    before = F.sum("t").over(Window.partitionBy("name").orderBy("bk").rowsBetween(Window.unboundedPreceding, 0)) - F.col("t")
-    ends = sums.withColumn("before", before).where("before < rest and rest <= before + t")
-    last = {r.name: (r.bk, r.rest - r.before) for r in ends.collect()}  # one row for each source
+    sums = all_rows.where("rest > 0").groupBy("name", "bk", "rest").agg(F.sum("tokens").alias("t"))
+    sums = materialise(sums.withColumn("part", F.substring("bk", 1, PART_DIGITS)), "mix-blocks", made_tables)
+    # A source's blocks are summed by parts of the range of their keys first, 16^PART_DIGITS at most; then those of one part, one after the other.
+    coarse = crossing(sums.groupBy("name", "part", "rest").agg(F.sum("t").alias("t")), "part", F.lit(0)).select("name", "part", F.col("before").alias("base"))
+    coarse = spark.createDataFrame(coarse.collect(), "name string, part string, base long")  # one row for each source
+    last = {r.name: (r.bk, r.rest - r.before) for r in crossing(sums.join(F.broadcast(coarse), ["name", "part"]), "bk", F.col("base")).collect()}
     cut = spark.createDataFrame([(s, bk, left) for s, (bk, left) in last.items()], "name string, bk string, remaining long")
+    # The rows of one block of each source: block_tokens of them at most, about.
     inside = all_rows.join(F.broadcast(cut), ["name", "bk"]).groupBy("name", "remaining", "rk").agg(F.sum("tokens").alias("t"))
     so_far = F.sum("t").over(Window.partitionBy("name").orderBy("rk").rowsBetween(Window.unboundedPreceding, 0))
     reached = inside.withColumn("c", so_far).where("c - t < remaining").groupBy("name").agg(F.max("rk").alias("rk"))
     last_row = {r.name: r.rk for r in reached.collect()}
+    discard(spark, made_tables)
     cuts = [(*m, last[m[0]][0] if m[0] in last else "", last_row.get(m[0], "")) for m in made]
     sources = spark.createDataFrame(cuts, "name string, n long, epochs long, rest long, blocks long, last_block string, last_row string")
     own = [c for c in docs.columns if c not in ("tokens", "block", "epochs", "extra")]
-    keyed = docs.select(F.struct(*own).alias("own"), F.col(id_col).cast("string").alias("i"), F.md5(text).alias("h"), F.col(source).cast("string").alias("s"), F.greatest(words(text), F.lit(1).cast("long")).alias("tokens"))
+    keyed = docs.select(packed(docs, ("tokens", "block", "epochs", "extra")).alias("own"), F.col(id_col).cast("string").alias("i"), F.md5(text).alias("h"), F.col(source).cast("string").alias("s"), F.greatest(words(text), F.lit(1).cast("long")).alias("tokens"))
     extra = (F.col("bk") < F.col("last_block")) | ((F.col("bk") == F.col("last_block")) & (F.col("rk") <= F.col("last_row")))
-    return dealt(keyed, sources).select("own.*", "tokens", "block", "epochs", extra.cast("long").alias("extra"))
+    return dealt(keyed, sources).select(*[F.col("own").getField(c).alias(c) for c in own], "tokens", "block", "epochs", extra.cast("long").alias("extra"))
 
 
 def passes(planned: DataFrame, text: str = "text", id_col: str = "doc_id", source: str = "source") -> DataFrame:

@@ -24,6 +24,8 @@ from .common import table
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 LEARNT = "assistant"
+#: Characters that are encoded at once; a longer conversation is encoded by itself.
+HELD_CHARS = 1 << 20
 CONTROL, ESCAPED = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
 TURNS = re.compile(r"<\|turn\|>(.*?)<\|text\|>(.*?)<\|end\|>", re.DOTALL)
 
@@ -77,13 +79,13 @@ def format_chats(rows: DataFrame, tokenizer_json: str, conv: str = "conv_id", tu
     The tokenizer is a byte-level one of the tokenizers library; starts and ends are code points of formatted, loss_mask is one byte for
     each token. Turns come by turn, a null first, ties by role, then text; repeated rows are turns of their own. Null roles
     and texts are empty; rows without a conversation are one conversation of their own, null. A conversation goes to one task, which
-    holds it alone: rendering it whole asks for that.
+    holds it alone, however long: rendering it whole asks for that. An empty table gives an empty result; other columns aren't read, so no names clash.
     """
     spec = rows.sparkSession.sparkContext.broadcast(tokenizer_json)
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = _tokenizer(spec.value).encode_batch
-        current, turns, done = None, [], []
+        current, turns, done, held = None, [], [], 0
 
         def flush(finished: list) -> pd.DataFrame:
             rendered = [render(t) for _, t in finished]
@@ -105,10 +107,11 @@ def format_chats(rows: DataFrame, tokenizer_json: str, conv: str = "conv_id", tu
                     if turns:
                         done.append((current, turns))
                     current, turns = c, []
-                    if len(done) >= 200:
+                    if len(done) >= 200 or held >= HELD_CHARS:
                         yield flush(done)
-                        done = []
+                        done, held = [], 0
                 turns.append((r, t))
+                held += len(t)
         if turns:
             done.append((current, turns))
         if done:

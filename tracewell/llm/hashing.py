@@ -48,17 +48,30 @@ def spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return mixed(out)
 
 
-def words(texts: list[bytes], between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of the words of texts one after the other, and of which text each word is; between says which bytes are in no word."""
+def _edges(texts: list[bytes], between: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts as one array of bytes, where their words start and end in it, and where the texts end."""
     data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
     apart = np.ones(len(data) + 1, bool)
     apart[1:] = between[data]
     edges = np.flatnonzero(apart[1:] != apart[:-1])
-    starts, ends = edges[::2], edges[1::2]
-    limits = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+    return data, edges[::2], edges[1::2], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+
+
+def words(texts: list[bytes], between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the words of texts one after the other, and of which text each word is; between says which bytes are in no word."""
+    data, starts, ends, limits = _edges(texts, between)
     return spans(data, starts, ends), np.searchsorted(limits, starts, side="right")
 
 
+def placed_words(texts: list[bytes], between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As `words`, and the number of characters before each word in its text."""
+    data, starts, ends, limits = _edges(texts, between)
+    row = np.searchsorted(limits, starts, side="right")
+    before = np.concatenate(([0], np.cumsum(data & 0xC0 != 0x80)))
+    first = np.concatenate(([0], limits))
+    return spans(data, starts, ends), row, before[starts] - before[first[row]]
+
+
 def shingles(h: np.ndarray, row: np.ndarray, size: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of `size` words of a text, in order, repeats included, and their texts; a text of fewer words gives one, of all its words."""
     n = np.bincount(row, minlength=rows)

@@ -65,11 +65,10 @@ class JobGraph:
         return self.state
 
 
-#: Settings for a cluster: speculation runs a second attempt of a task only while it has one; bad records are skipped and counted by `observe`.
+#: Settings for a cluster: speculation runs a second attempt of a task only while it has one. A corrupt file is an error: its rows would be lost unseen.
 SETTINGS = {
     "spark.speculation": "true",
     "spark.task.maxFailures": "4",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.files.ignoreCorruptFiles": "true",
 }

@@ -33,6 +33,7 @@ def call_edges(calls: DataFrame) -> DataFrame:
 def subgraphs(edges: DataFrame, seeds: DataFrame, depth: int = 4) -> DataFrame:
     """(seed, caller, callee, depth): for each seed the edges of the nodes met in fewer than `depth` steps; each node is expanded once for a
     seed, at its first depth. Seeds without callees have no rows."""
+    edges = _cut(edges.select("caller", "callee"))
     frontier = seeds.select(F.col(seeds.columns[0]).alias("seed")).distinct().withColumn("node", F.col("seed"))
     seen, out = frontier, None
     for level in range(depth):
@@ -48,6 +49,7 @@ def subgraphs(edges: DataFrame, seeds: DataFrame, depth: int = 4) -> DataFrame:
 def reverse_trace(edges: DataFrame, seeds: DataFrame, depth: int = 3) -> tuple[DataFrame, DataFrame]:
     """(traced, frontier), single columns `node`: nodes expanded in `depth` rounds of callers, the seeds first, and the callers found in the last
     round, which may be among the traced."""
+    edges = _cut(edges.select("caller", "callee"))
     current = seeds.select(F.col(seeds.columns[0]).alias("node")).distinct()
     traced = current.limit(0)
     for _ in range(depth):

@@ -35,6 +35,35 @@ def test_dispatch_has_a_place_for_new_aggregators(spark):
         aggregates.AGGREGATORS.pop("FIRSTLETTER")
 
 
+def test_dispatch_histogram_and_empty_extremes(spark):
+    rows = [("ValueHistogram:x", v) for v in "aaabbcd"] + [("ValueHistogram:x", None), ("UniqValueCount:x", "a"), ("UniqValueCount:x", None)]
+    rows += [("LongValueMax:x", "none"), ("LongValueMin:x", None), (None, "1")]
+    got = {(r.type, r.id): r.report for r in aggregates.dispatch(spark.createDataFrame(rows, "key string, value string")).collect()}
+    assert got[("VALUEHISTOGRAM", "x")].split("\t")[:5] == ["4", "1", "2", "3", "1.75"]
+    assert got[("UNIQVALUECOUNT", "x")] == "1" and got[(None, None)] is None
+    assert got[("LONGVALUEMAX", "x")] == str(-(1 << 63)) and got[("LONGVALUEMIN", "x")] == str((1 << 63) - 1)
+
+
+def test_int_sum_wraps(spark):
+    df = spark.createDataFrame([(2147483647,), (1,), (None,)], "v int")
+    assert df.agg(aggregates.int_sum(F.col("v")).alias("s")).head().s == -(1 << 31)
+
+
+def test_cdf_is_exact_for_null_keys_hot_values_and_no_key(spark):
+    import math
+    import random
+
+    draw = random.Random(5)
+    rows = [(None, draw.randrange(50)) for _ in range(301)] + [("a", 7)] * 200 + [("a", draw.randrange(-900, 900)) for _ in range(997)] + [("b", None), ("c", 3), ("c", None)]
+    df = spark.createDataFrame(rows, "k string, v int")
+    disc = lambda vs, i: sorted(vs)[math.ceil(i * len(vs) / 7) - 1]
+    for r in numeric.cdf(df, "v", 7, 7, "k").collect():
+        vs = [v for k, v in rows if k == r.k and v is not None]
+        assert tuple(r)[1:] == ((min(vs), max(vs), *[disc(vs, i) for i in range(1, 8)]) if vs else (None,) * 9)
+    vs = [v for _, v in rows if v is not None]
+    assert tuple(numeric.cdf(df, "v", 2, 7).head()) == (min(vs), max(vs), disc(vs, 1), disc(vs, 2))
+
+
 def test_metric_sum_with_a_null(spark):
     row = spark.sql("SELECT 5 a, cast(null as int) b").select(aggregates.metric_sum(F.col("a"), F.col("b")), aggregates.metric_sub(F.col("b"), F.col("a")), aggregates.metric_compare(F.col("a"), F.col("b"))).head()
     assert tuple(row) == (5, -5, 1)

@@ -179,6 +179,26 @@ def f28_audit_columns(spark, d):
     return fields.audit_columns(t(spark, d, "events").select(line.alias("line")), "line").select("relative_ts", "ugi", "command")
 
 
+@query("SELECT o_orderkey, CASE WHEN o_custkey % 2 = 0 THEN 'a.x' END AS kept, CASE WHEN o_custkey % 2 = 1 THEN 'b.x' END AS other FROM orders")
+def f19_prefix(spark, d):
+    named = F.create_map(F.when(F.col("o_custkey") % 2 == 0, "a.x").otherwise("b.x"), F.col("o_custkey"))
+    first = lambda op: F.get(F.map_keys(predicates.Prefix(op, "a.").entries(named)), F.lit(0))
+    return t(spark, d, "orders").select("o_orderkey", first("=").alias("kept"), first("!=").alias("other"))
+
+
+@query("SELECT p_partkey, p_size > 10 AND starts_with(p_brand, 'Brand#1') AS passes, p_size > 5 AND p_size < 40 AS descend FROM part")
+def f25_find_and(spark, d):
+    size = F.col("p_size")
+    passes, descend = predicates.find_and((size > 10, size > 5), (F.startswith("p_brand", F.lit("Brand#1")), size < 40))
+    return t(spark, d, "part").select("p_partkey", passes.alias("passes"), descend.alias("descend"))
+
+
+@query("SELECT DISTINCT p_type, p_type LIKE 'S%' OR NOT (p_type LIKE '%D' OR p_type LIKE 'E%') AS kept, p_type NOT LIKE 'E%' AS not_excluded FROM part")
+def f26_metric_filter(spark, d):
+    kept = predicates.metric_filter(F.col("p_type"), ["S*"], ["*D", "E*"])
+    return t(spark, d, "part").select("p_type", kept.alias("kept"), predicates.metric_filter(F.col("p_type"), exclude=["E.*"], globs=False).alias("not_excluded")).distinct()
+
+
 # --- joins and sets -----------------------------------------------------------------------------------------------
 
 
@@ -188,9 +208,10 @@ def j01_known(spark, d):
     return joins.known(t(spark, d, "orders"), c, "o_custkey")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 200000)")
 def j02_unprocessed(spark, d):
-    return joins.unprocessed(t(spark, d, "customer"), t(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey").select("c_custkey", "c_name")
+    done = t(spark, d, "orders").where("o_orderpriority = '1-URGENT' and o_totalprice > 200000")
+    return joins.unprocessed(t(spark, d, "customer"), done.select(F.col("o_custkey").alias("c_custkey")), "c_custkey").select("c_custkey", "c_name")
 
 
 @query("SELECT s_suppkey, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey")
@@ -253,9 +274,9 @@ def u02_distinct_edges(spark, d):
     return sets.distinct_edges(t(spark, d, "lineitem"), "l_suppkey", "l_partkey")
 
 
-@query("SELECT c_custkey AS key FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("SELECT c_custkey AS key FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 300000")
 def u03_difference(spark, d):
-    return sets.difference(t(spark, d, "customer").select(F.col("c_custkey").alias("key")), t(spark, d, "orders").select(F.col("o_custkey").alias("key")))
+    return sets.difference(t(spark, d, "customer").select(F.col("c_custkey").alias("key")), t(spark, d, "orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("key")))
 
 
 @query("SELECT s_nationkey AS key FROM supplier UNION SELECT c_nationkey FROM customer")
@@ -404,6 +425,48 @@ def a32_row_hashes(spark, d):
     return aggregates.row_hashes(t(spark, d, "orders"), "o_orderpriority", "o_orderkey", "o_custkey")
 
 
+@query(
+    """WITH c AS (SELECT o_orderpriority AS id, o_custkey AS v, count(*) AS n FROM orders GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n) - 1 AS i, count(*) OVER (PARTITION BY id) AS m FROM c)
+SELECT id, max(m)::BIGINT AS values, min(n)::BIGINT AS least, max(n) FILTER (WHERE i = m // 2)::BIGINT AS median, max(n)::BIGINT AS most, round(avg(n), 6) AS mean, round(stddev_pop(n), 6) AS deviation FROM r GROUP BY id"""
+)
+def a11_histogram_report(spark, d):
+    rows = t(spark, d, "orders").select(F.concat(F.lit("ValueHistogram:"), "o_orderpriority").alias("key"), F.col("o_custkey").alias("value"))
+    part = F.split("report", "\t")
+    whole = {c: part[i].cast("long").alias(c) for i, c in enumerate(("values", "least", "median", "most"))}
+    return aggregates.dispatch(rows).select("id", *whole.values(), F.round(part[4].cast("double"), 6).alias("mean"), F.round(part[5].cast("double"), 6).alias("deviation"))
+
+
+@query("SELECT o_orderstatus, ((sum(o_custkey * 1000003)::HUGEINT + 2147483648) % 4294967296 - 2147483648)::INTEGER AS total FROM orders GROUP BY 1")
+def a05_int_sum(spark, d):
+    return t(spark, d, "orders").groupBy("o_orderstatus").agg(aggregates.int_sum(F.col("o_custkey") * 1000003).alias("total"))
+
+
+@query("SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1")
+def a16_value_count(spark, d):
+    return aggregates.value_count(t(spark, d, "orders"), "o_orderstatus")
+
+
+@query(
+    """WITH p AS (SELECT p_partkey, nullif(p_partkey % 3, 0) AS a, nullif(p_size % 4, 0) AS b FROM part)
+SELECT p_partkey, coalesce(CASE WHEN a IS NULL THEN b WHEN b IS NULL THEN a ELSE a + b END, -99) AS total, coalesce(CASE WHEN a IS NULL THEN -b WHEN b IS NULL THEN a ELSE a - b END, -99) AS less,
+CASE WHEN a IS NULL AND b IS NULL THEN 0 WHEN a IS NULL THEN -1 WHEN b IS NULL THEN 1 ELSE sign(a - b) END::INTEGER AS compared FROM p"""
+)
+def a27_metric_calculus(spark, d):
+    a, b = F.nullif(F.col("p_partkey") % 3, F.lit(0).cast("long")), F.nullif((F.col("p_size") % 4).cast("long"), F.lit(0).cast("long"))
+    return t(spark, d, "part").select("p_partkey", aggregates.metric_sum(a, b).alias("total"), aggregates.metric_sub(a, b).alias("less"), aggregates.metric_compare(a, b).alias("compared")).na.fill(-99)
+
+
+@query(
+    """WITH s AS (SELECT l_orderkey AS key, l_linenumber / 8 AS p, l_linenumber * l_linenumber::DOUBLE AS v FROM lineitem),
+g AS (SELECT *, lag(p, 1, 0) OVER w AS p0, lag(v, 1, 0) OVER w AS v0 FROM s WINDOW w AS (PARTITION BY key ORDER BY p, v))
+SELECT key, least(floor(p * 4), 3)::INTEGER AS bucket, round(sum(v - v0), 6) AS cumulative, round(sum((v + v0) / 2 * (p - p0)) * 4, 6) AS state FROM g GROUP BY ALL"""
+)
+def a29_progress_buckets(spark, d):
+    rows = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("key"), (F.col("l_linenumber") / 8).alias("p"), (F.col("l_linenumber") * F.col("l_linenumber")).cast("double").alias("v"))
+    out = aggregates.progress_buckets(rows, "key", "p", "v", 4)
+    return out.withColumns({c: F.round(c, 6) for c in ("cumulative", "state")})
+
+
 # --- windows and sorts --------------------------------------------------------------------------------------------
 
 
@@ -510,6 +573,37 @@ def p10_balanced(spark, d):
     return partitioning.balanced(spark, 305, 30)
 
 
+@query(
+    """WITH h AS (SELECT p_partkey, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(p_name, ''), lambda c: ascii(c)::BIGINT)), lambda h, c: (h * 31 + c) % 4294967296) AS h FROM part)
+SELECT p_partkey, (h & 2147483647) % 16 AS part FROM h"""
+)
+def p01_hash(spark, d):
+    return t(spark, d, "part").select("p_partkey", partitioning.hash_partition("p_name", 16).alias("part"))
+
+
+@query(
+    """WITH h AS (SELECT p_partkey, list_reduce(list_prepend(1::BIGINT, list_transform(string_split(substr(p_brand, 2, length(p_brand) - 2), ''), lambda c: ascii(c)::BIGINT)), lambda h, c: (h * 31 + c) % 4294967296) AS h FROM part)
+SELECT p_partkey, (h & 2147483647) % 16 AS part FROM h"""
+)
+def p05_byte_slice(spark, d):
+    p = t(spark, d, "part").select("p_partkey", F.encode("p_brand", "utf-8").alias("key"))
+    return p.select("p_partkey", partitioning.byte_partition("key", 1, -2, 16).alias("part"))
+
+
+@query("SELECT count(DISTINCT l_orderkey) AS keys, count(*) AS n, count(DISTINCT l_orderkey) AS places FROM lineitem")
+def p04_field_partition(spark, d):
+    """Every key is in one place: as many (key, partition) pairs as keys."""
+    lines = t(spark, d, "lineitem").select("l_orderkey", F.concat_ws("\t", F.col("l_linenumber").cast("string"), F.col("l_orderkey").cast("string"), "l_returnflag").alias("line"))
+    placed = partitioning.field_partition(lines, 8, "line", 2, 2).select("l_orderkey", F.spark_partition_id().alias("place")).groupBy("l_orderkey", "place").agg(F.count("*").alias("n"))
+    return placed.agg(F.count_distinct("l_orderkey").alias("keys"), F.sum("n").alias("n"), F.count("*").alias("places"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 4 < 3 THEN p_size % 4 END::INTEGER AS partition FROM part WHERE p_size % 4 < 3")
+def p06_given_partition(spark, d):
+    p = t(spark, d, "part").select("p_partkey", (F.col("p_size") % 4).alias("number")).where("number < 3")
+    return partitioning.given_partition(p, "number", 3).select("p_partkey", "partition")
+
+
 # --- functions ----------------------------------------------------------------------------------------------------
 
 
@@ -562,6 +656,87 @@ def x17_encodings(spark, d):
     return o.select("o_orderkey", numeric.invert(F.col("o_orderkey")).alias("inverted"), numeric.supplement(ms, F.col("o_custkey")).alias("cell"))
 
 
+@query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN '<enhanced_paths>' || p_name || '</enhanced_paths>' ELSE 'a ' || p_name END AS block FROM part")
+def x03_block(spark, d):
+    tagged = F.concat(F.lit("a <enhanced_paths>"), "p_name", F.lit("</enhanced_paths> b <enhanced_paths>c</enhanced_paths>"))
+    return t(spark, d, "part").select("p_partkey", text.block(F.when(F.col("p_size") % 2 == 0, tagged).otherwise(F.concat(F.lit("a "), "p_name"))).alias("block"))
+
+
+@query("SELECT p_partkey, 'int ' || replace(p_name, ' ', '') || '() { return f(); }' AS code, true AS method FROM part")
+def x07_strip_code(spark, d):
+    name = F.replace("p_name", F.lit(" "), F.lit(""))
+    code = F.concat(F.lit("int "), name, F.lit('(/* one\n two */) { return f("a \\" b"); }// end'))
+    return t(spark, d, "part").select("p_partkey", text.strip_code(code).alias("code"), text.is_method(code).alias("method"))
+
+
+@query("SELECT conv_id, turn, translate(text, chr(13) || chr(10), chr(1) || chr(2)) AS encoded, text AS decoded FROM conversations")
+def x11_line_codes(spark, d):
+    encoded = text.encode_lines(F.col("text"))
+    return t(spark, d, "conversations").select("conv_id", "turn", encoded.alias("encoded"), text.decode_lines(encoded).alias("decoded"))
+
+
+@query("SELECT p_partkey, p_brand || '.class' AS entry, printf('%04d%%%s', p_size, p_brand) AS dir, p_size AS number FROM part")
+def x12_jar_paths(spark, d):
+    outer = F.when(F.col("p_size") % 2 == 0, "lib/a.jar!/").otherwise("lib/x/")
+    folder = text.numbered_dir(F.col("p_brand"), F.col("p_size"))
+    return t(spark, d, "part").select("p_partkey", text.jar_entry(F.concat(outer, "p_brand", F.lit(".class"))).alias("entry"), folder.alias("dir"), text.dir_number(folder).alias("number"))
+
+
+@query("SELECT event_id, 'from <*> to <*>: ' || event_type || ' <*>' AS masked FROM events")
+def x14_mask(spark, d):
+    n = (F.col("event_id") % 200).cast("string")
+    line = F.concat(F.lit("from /10.0.0."), n, F.lit(":80 to 10.1.0."), n, F.lit(": "), "event_type", F.lit(" {k="), n, F.lit("}"))
+    return t(spark, d, "events").select("event_id", text.mask_fields(line).alias("masked"))
+
+
+@query("SELECT p_partkey, replace(replace(replace(p_name || '%' || chr(9), '%', '%0$'), ' ', '%1$'), chr(9), '%2$') AS qualifier FROM part")
+def x20_qualifier(spark, d):
+    return t(spark, d, "part").select("p_partkey", text.encode_qualifier(F.concat("p_name", F.lit("%\t"))).alias("qualifier"))
+
+
+@query("SELECT l_orderkey AS file, count(*) AS blocks, md5(unhex(string_agg(md5(l_returnflag || l_partkey), '' ORDER BY l_linenumber, md5(l_returnflag || l_partkey)))) AS md5 FROM lineitem GROUP BY l_orderkey")
+def x23_file_md5(spark, d):
+    rows = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("file"), "l_linenumber", F.encode(F.concat("l_returnflag", F.col("l_partkey").cast("string")), "utf-8").alias("data"))
+    return numeric.file_checksums(rows, "file", "l_linenumber", "data")
+
+
+@query("SELECT p_partkey, round(CASE WHEN r < 0.25 THEN 10 + r / 0.25 * 90 WHEN r < 1 THEN 100 + (r - 0.25) / 0.75 * 900 ELSE 1000 END, 6) AS value FROM (SELECT p_partkey, p_size / 50 AS r FROM part)")
+def x24_piecewise(spark, d):
+    value = numeric.piecewise_quantile(F.col("p_size") / 50, [(0.0, 10.0), (0.25, 100.0), (1.0, 1000.0)])
+    return t(spark, d, "part").select("p_partkey", F.round(value, 6).alias("value"))
+
+
+@query("SELECT s_suppkey, unnest(range(s_suppkey, s_suppkey + 20, 6)) AS term FROM supplier")
+def x26_progression(spark, d):
+    s = t(spark, d, "supplier").select("s_suppkey", (F.col("s_suppkey") + 20).alias("stop"), F.lit(6).cast("long").alias("step"))
+    return numeric.progression(s, "s_suppkey", "stop", "step").select("s_suppkey", "term")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey + l_suppkey AS a, l_partkey - l_suppkey AS s, l_partkey * l_suppkey AS m, CASE WHEN l_linenumber % 3 <> 0 THEN round(l_partkey / (l_linenumber % 3), 6) END AS q FROM lineitem")
+def x27_arithmetic(spark, d):
+    x, y = F.col("l_partkey"), F.col("l_suppkey")
+    q = F.round(numeric.arithmetic("/", x, F.col("l_linenumber") % 3), 6)
+    return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *[numeric.arithmetic(k, x, y).alias(c) for k, c in (("+", "a"), ("-", "s"), ("*", "m"))], q.alias("q"))
+
+
+@query(
+    """WITH w AS (SELECT DISTINCT word, CASE WHEN ends_with(word, '.log') THEN '.log' ELSE '' END AS suffix FROM (SELECT CASE WHEN user_id % 2 = 0 THEN 'u' || user_id || '.log' WHEN user_id % 3 = 0 THEN 'known.log' ELSE user_id::VARCHAR END AS word FROM events)),
+k AS (SELECT word, suffix, substr(word, 1, length(word) - length(suffix)) AS stem FROM w),
+n AS (SELECT stem, dense_rank() OVER (ORDER BY stem) AS i FROM (SELECT DISTINCT stem FROM k WHERE stem <> 'known' AND NOT regexp_full_match(stem, '-?[0-9]+')))
+SELECT word, coalesce('word75_' || i, stem) || suffix AS anonymous FROM k LEFT JOIN n USING (stem)"""
+)
+def x28_anonymise(spark, d):
+    user = F.col("user_id").cast("string")
+    word = F.when(F.col("user_id") % 2 == 0, F.concat(F.lit("u"), user, F.lit(".log"))).when(F.col("user_id") % 3 == 0, "known.log").otherwise(user)
+    return numeric.anonymise(t(spark, d, "events").select(word.alias("word")).distinct(), "word", ["known"], [".log"])
+
+
+@query("SELECT o_orderkey, o_custkey % 3 IS NOT DISTINCT FROM nullif(o_orderkey % 3, 2) AS same FROM orders")
+def x29_deep_equal(spark, d):
+    a, b = F.struct(F.lit("k"), F.array(F.col("o_custkey") % 3)), F.struct(F.lit("k"), F.array(F.nullif(F.col("o_orderkey") % 3, F.lit(2))))
+    return t(spark, d, "orders").select("o_orderkey", numeric.deep_equal(a, b).alias("same"))
+
+
 @query()
 def x22_murmur2(spark, d):
     return t(spark, d, "part").select("p_partkey", numeric.murmur2(F.encode("p_name", "utf-8")).alias("hash"))
@@ -638,6 +813,23 @@ def g11_hierarchy(spark, d):
     return graph.hierarchy(n, "c", "p")
 
 
+@query("SELECT DISTINCT event_type AS caller, 'T' || user_id AS callee FROM events WHERE event_id % 5 <> 0 AND event_id % 3 <> 1")
+def g01_call_edges(spark, d):
+    on, log = (F.col("event_id") % 5 != 0).cast("int"), F.when(F.col("event_id") % 3 == 0, 1).when(F.col("event_id") % 3 == 1, 0)
+    callee = F.concat(F.lit("T"), F.col("user_id").cast("string"))
+    return graph.call_edges(t(spark, d, "events").select(F.col("event_type").alias("caller"), callee.alias("callee"), on.alias("enabled"), log.alias("log_propagation")))
+
+
+@query(
+    """WITH RECURSIVE r(node, path, depth) AS (SELECT 0, '/NATION_0', 0 UNION ALL SELECT n.n_nationkey, r.path || '/NATION_' || n.n_nationkey, r.depth + 1 FROM r JOIN nation n ON n.n_nationkey > 0 AND n.n_nationkey // 3 = r.node)
+SELECT node::BIGINT AS node, path, depth FROM r"""
+)
+def g12_tree_walk(spark, d):
+    n, key = t(spark, d, "nation"), F.col("n_nationkey").cast("long")
+    tree = n.select(key.alias("n"), F.when(key > 0, F.expr("n_nationkey div 3")).alias("p"), F.concat(F.lit("NATION_"), key.cast("string")).alias("name"))
+    return graph.tree_paths(tree, "n", "p", "name")
+
+
 # --- streams, run over the same tables as batches ------------------------------------------------------------------
 
 
@@ -661,3 +853,10 @@ def t05_quantiles(spark, d):
 @query("SELECT event_id, 1000000 + (event_id / 2)::BIGINT AS at_ms FROM (SELECT event_id * 2 AS event_id FROM events)")
 def t11_replay(spark, d):
     return metrics.replay(t(spark, d, "events").select((F.col("event_id") * 2).alias("event_id")), "event_id", 1_000_000, 2.0)
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 4 = 0")
+def t02_changed_only(spark, d):
+    now = t(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    before = now.withColumn("o_totalprice", F.when(F.col("o_orderkey") % 4 == 0, F.col("o_totalprice") - 1).otherwise(F.col("o_totalprice")))
+    return metrics.changed_only(before, now)

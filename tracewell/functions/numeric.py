@@ -69,10 +69,33 @@ def file_checksums(df: DataFrame, file: str, block: str, data: str) -> DataFrame
     return listed.select(file, "blocks", F.md5(F.unhex(F.array_join(F.transform("ms", lambda m: m["m"]), ""))).alias("md5"))
 
 
+#: Ranges that `cdf` puts the values of a key in.
+RANGES = 32
+
+
 def cdf(df: DataFrame, value: str, steps: int, modulus: int, *keys: str) -> DataFrame:
-    """least, greatest and the discrete quantiles at steps[i] / modulus for i = 1 .. steps."""
-    ranks = [F.expr(f"percentile_disc({i / modulus}) WITHIN GROUP (ORDER BY {value})").alias(f"p{i}") for i in range(1, steps + 1)]
-    return df.groupBy(*keys).agg(F.min(value).alias("least"), F.max(value).alias("greatest"), *ranks)
+    """least, greatest and the discrete quantiles at steps[i] / modulus for i = 1 .. steps, exact, of a numeric column; null values don't count.
+
+    Each distinct value is counted. Sketched quantiles cut a key's values into ranges, and only ranges that hold a wanted rank are summed up
+    value by value. The sketch decides how even the ranges are, never the result.
+    """
+    key = F.struct(F.lit(0).alias("_"), *keys).alias("_k")
+    counted = df.select(key, F.col(value).alias("_v")).groupBy("_k", "_v").agg(F.count("_v").alias("_n"))
+    cuts = F.percentile_approx("_v", [i / RANGES for i in range(1, RANGES)], F.lit(1000)).alias("_cuts")
+    ends = counted.groupBy("_k").agg(cuts, F.sum("_n").alias("_total"), F.min("_v").alias("least"), F.max("_v").alias("greatest"))
+    placed = counted.where("_v is not null").join(ends.select("_k", "_cuts", "_total"), "_k")
+    placed = placed.select("_k", "_v", "_n", "_total", F.size(F.filter("_cuts", lambda c: c < F.col("_v"))).alias("_r"))
+    sums = placed.groupBy("_k", "_r").agg(F.sum("_n").alias("_in"), F.max("_total").alias("_all"))
+    upto = F.sum("_in").over(Window.partitionBy("_k").orderBy("_r"))
+    sums = sums.withColumn("_before", upto - F.col("_in"))
+    ranks = F.array(*[F.lit(i) for i in range(1, steps + 1)])
+    holds = lambda i: (F.col("_before") * modulus < i * F.col("_all")) & ((F.col("_before") + F.col("_in")) * modulus >= i * F.col("_all"))
+    wanted = sums.where(F.exists(ranks, holds))
+    near = placed.join(wanted.select("_k", "_r", "_before"), ["_k", "_r"])
+    rank = F.col("_before") + F.sum("_n").over(Window.partitionBy("_k", "_r").orderBy("_v"))
+    found = near.select("_k", "_v", "_total", rank.alias("_rank")).groupBy("_k")
+    found = found.agg(*[F.min(F.when(F.col("_rank") * modulus >= F.col("_total") * i, F.col("_v"))).alias(f"p{i}") for i in range(1, steps + 1)])
+    return ends.join(found, "_k", "left").select(*[F.col("_k")[c].alias(c) for c in keys], "least", "greatest", *[f"p{i}" for i in range(1, steps + 1)])
 
 
 def piecewise_quantile(rank: Column, points: list[tuple[float, float]]) -> Column:

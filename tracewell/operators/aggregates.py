@@ -37,20 +37,32 @@ def word_histogram(df: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def _histogram(value: Column) -> Column:
-    return F.count_distinct(value).cast("string")
+#: The reports of a greatest and a least integer that no value went into.
+LEAST_LONG, GREATEST_LONG = -(1 << 63), (1 << 63) - 1
 
-
-#: Aggregators by upper-case name: from the string column of values to the string column of a report.
+#: Aggregators by upper-case name: from the string column of values to the string column of a report. Text that a numeric type can't read is left out.
 AGGREGATORS: dict[str, Callable[[Column], Column]] = {
     "LONGVALUESUM": lambda v: F.sum(v.try_cast("long")).cast("string"),
     "DOUBLEVALUESUM": lambda v: F.sum(v.try_cast("double")).cast("string"),
-    "LONGVALUEMAX": lambda v: F.max(v.try_cast("long")).cast("string"),
-    "LONGVALUEMIN": lambda v: F.min(v.try_cast("long")).cast("string"),
+    "LONGVALUEMAX": lambda v: F.coalesce(F.max(v.try_cast("long")), F.lit(LEAST_LONG)).cast("string"),
+    "LONGVALUEMIN": lambda v: F.coalesce(F.min(v.try_cast("long")), F.lit(GREATEST_LONG)).cast("string"),
     "STRINGVALUEMAX": lambda v: F.max(v),
     "STRINGVALUEMIN": lambda v: F.min(v),
-    "UNIQVALUECOUNT": lambda v: F.count_distinct(v).cast("string"),
-    "VALUEHISTOGRAM": _histogram,
+}
+
+#: Aggregators of how often each distinct value occurs: from the column of these counts, null for a null value, to the report. A histogram's
+#: report is the number of values, then the least, median (upper), greatest, mean and population deviation of their counts, tabs between.
+COUNTED: dict[str, Callable[[str], Column]] = {
+    "UNIQVALUECOUNT": lambda n: F.count(n).cast("string"),
+    "VALUEHISTOGRAM": lambda n: F.concat_ws(
+        "\t",
+        F.count(n),
+        F.min(n),
+        F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {n} DESC)").cast("long"),
+        F.max(n),
+        F.avg(n),
+        F.stddev_pop(n),
+    ),
 }
 
 
@@ -59,18 +71,33 @@ def register(name: str, report: Callable[[Column], Column]) -> None:
     AGGREGATORS[name.upper()] = report
 
 
+def _by_type(reports: dict[str, Column]) -> Column:
+    """The report of the row's own type; null for any other type."""
+    out = F.lit(None).cast("string")
+    for name, report in reports.items():
+        out = F.when(F.col("type") == name, report).otherwise(out)
+    return out.alias("report")
+
+
 def dispatch(df: DataFrame, key: str = "key", value: str = "value") -> DataFrame:
     """(id, type, report): rows with keys `TYPE:id` go to the aggregator of that type, in any case; other types give null.
 
-    Values that a type can't read are left out. Partial sums are made before the shuffle.
+    Two passes whatever the number of types: one for the aggregators of values, one for those of distinct values' counts. Partial results are made
+    before each shuffle.
     """
     kind = F.upper(F.substring_index(key, ":", 1))
     typed = df.select(kind.alias("type"), F.expr(f"substring({key}, instr({key}, ':') + 1)").alias("id"), F.col(value).cast("string").alias("v"))
-    parts = [typed.where(F.col("type") == name).groupBy("id", "type").agg(report(F.col("v")).alias("report")) for name, report in AGGREGATORS.items()]
-    out = typed.where(~F.col("type").isin(*AGGREGATORS)).groupBy("id", "type").agg(F.max(F.lit(None).cast("string")).alias("report"))
-    for p in parts:
-        out = out.unionByName(p)
-    return out
+    counting = F.col("type").isin(*COUNTED)
+    own = {name: report(F.when(F.col("type") == name, F.col("v"))) for name, report in AGGREGATORS.items()}
+    plain = typed.where(~counting | F.col("type").isNull()).groupBy("id", "type").agg(_by_type(own))
+    counts = typed.where(counting).groupBy("id", "type", "v").agg(F.count("v").alias("n")).withColumn("n", F.when(F.col("v").isNotNull(), F.col("n")))
+    return plain.unionByName(counts.groupBy("id", "type").agg(_by_type({name: report("n") for name, report in COUNTED.items()})))
+
+
+def int_sum(value: Column) -> Column:
+    """A sum of 32-bit integers that wraps around as they do."""
+    low = F.pmod(F.sum(value.cast("long")), F.lit(1 << 32))
+    return F.when(low >= 1 << 31, low - (1 << 32)).otherwise(low).cast("int")
 
 
 def unique_count(df: DataFrame, key: str, value: str, most: int | None = None) -> DataFrame:

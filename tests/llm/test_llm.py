@@ -516,6 +516,13 @@ def test_pigeonring_loses_no_pair(spark):
     assert got == {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= 3}
 
 
+def test_exploded_rows_are_never_broadcast(spark):
+    """72 rows of a fingerprint: Spark's estimate is that of the fingerprints, so at its default threshold their rows went to the driver."""
+    fps = common.materialise(spark.range(1000).select(F.xxhash64("id").alias("fp")), "test")
+    plan = op09_simhash.pairs(fps)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_simhash_edges(edge, empty):
     got = op09_simhash.near_duplicates(edge).collect()
     assert len(got) == 12 and {r.fingerprint for r in got if r.doc_id in (2, 3, 6)} == {"0" * 16}

@@ -86,7 +86,8 @@ def pairs(fps: DataFrame, fp: str = "fp") -> DataFrame:
     turned = F.expr("shiftleft(a ^ b, 16 * cast(shiftright(key, 32) as int)) | shiftrightunsigned(a ^ b, 64 - 16 * cast(shiftright(key, 32) as int))")
     chain = F.when(start == 0, differ).otherwise(turned)  # the differing bits, the chain's first segment on top
     near = (x < y) & (F.bit_count(F.shiftrightunsigned(chain, 16)) <= 2) & (F.bit_count(differ) <= BITS)
-    joined = left.withColumnRenamed("key", "key").join(right.withColumnRenamed("key", "key2"), F.expr("key = key2") & near)
+    # Spark takes exploded rows for as few bytes as the table they come from, and would broadcast all 68 a fingerprint.
+    joined = left.hint("merge").join(right.withColumnRenamed("key", "key2").hint("merge"), F.expr("key = key2") & near)
     return joined.select("a", "b")
 
 

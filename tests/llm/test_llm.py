@@ -597,6 +597,12 @@ def test_near_duplicate_stage_against_all_pairs(spark, docs):
     assert got == sorted(set(components([i for i, _ in rows], links).values()))
 
 
+def test_proposed_pairs_of_the_stage_are_joined_by_merge(spark):
+    own = common.materialise(spark.range(1000).select(F.col("id").alias("u"), F.xxhash64("id").alias("fp")), "test")
+    plan = op09_simhash.proposed(own)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"SortMergeJoin \[key#", plan) and not re.search(r"BroadcastHashJoin \[key#", plan)
+
+
 def test_first_of_each_decides_by_id_and_text(spark):
     other, third = "some quite different words stand here alone today", "yet another text that nothing else is like at all"
     rows = [(1, LINE), (None, LINE), (None, other), (2, third), (2, LINE), (3, third), (4, "a b c d e f g"), (4, "a b  c d e f g")]

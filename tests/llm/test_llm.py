@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tracewell.llm import common, op01_secrets, op02_langid, op03_topk, op04_mixing, op05_chat, op06_tokenfile, op07_bpe, op08_lines, op09_simhash, op10_ann, queries
+from tracewell.llm import common, near, op01_secrets, op02_langid, op03_topk, op04_mixing, op05_chat, op06_tokenfile, op07_bpe, op08_lines, op09_simhash, op10_ann, queries
 
 SMALL = "/root/testdata/sf0.01"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, tokens string, n_removed string, lang_pred string, score string, h string, name string, bucket string"
@@ -603,6 +603,24 @@ def test_proposed_pairs_of_the_stage_are_joined_by_merge(spark):
     assert re.search(r"SortMergeJoin \[key#", plan) and not re.search(r"BroadcastHashJoin \[key#", plan)
 
 
+def test_parities_prove_pairs_apart(spark, monkeypatch):
+    """Never more bits apart than hashes, whatever the sizes; and pairs that only share passages don't have their sets sent for."""
+    rng = np.random.default_rng(14)
+    base = np.unique(rng.integers(0, 1 << 63, 5000).astype(np.uint64))
+    for m, n, common in ((0, 3, 0), (1, 1, 1), (64, 65, 60), (40, 3000, 40), (1000, 1000, 890), (2000, 1700, 0)):
+        x, y = base[:m], np.concatenate([base[:common], base[m : m + n - common]])
+        a, b = near.parities(np.concatenate([x, y]), np.array([m, n]))
+        assert near.apart(a, b) == near.apart(b, a) <= m + n - 2 * common
+    sent = []
+    monkeypatch.setattr(near, "whole_sets", lambda wanted, *a, f=near.whole_sets: sent.append(wanted.count()) or f(wanted, *a))
+    words = lambda: [f"w{i}" for i in rng.integers(0, 10_000, 300)]
+    passage, copy = words()[:200], words()
+    rows = [(i, " ".join(passage + words())) for i in range(40)] + [(100, " ".join(copy)), (101, " ".join([*copy[:-1], "zebra"]))]
+    got = op09_simhash.first_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(r.doc_id for r in got) == [*range(40), 100]
+    assert sum(sent) <= 2
+
+
 def test_first_of_each_decides_by_id_and_text(spark):
     other, third = "some quite different words stand here alone today", "yet another text that nothing else is like at all"
     rows = [(1, LINE), (None, LINE), (None, other), (2, third), (2, LINE), (3, third), (4, "a b c d e f g"), (4, "a b  c d e f g")]

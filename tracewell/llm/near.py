@@ -3,8 +3,9 @@
 Two sets of m and n shingles of Jaccard similarity s or more share at least s max(m, n) of them, so under any one order of all
 shingles the first n - ceil(s n) + 1 of either hold a common one (prefix filtering). The order is that of hashes, with shingles that
 many documents have last: whichever those are, no pair is lost, and buckets stay small. Each bucket is linked to a few of its sets
-first; then all its pairs that are not connected yet are compared, so a large group of near copies costs its size. Every link is
-verified on the whole sets, which are read again from the texts for the sets that are wanted.
+first; then all its pairs that are not connected yet are compared, so a large group of near copies costs its size. Pairs are first
+held against parities of their sets, about a bit a shingle, which prove most to have too much apart (the bitmap filter) and never leave out
+a link. Every link is verified on the whole sets, which are read again from the texts for the sets that are wanted.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import bitmap, chunks, connected, in_bitmap, materialise, trim
+from .common import bitmap, chunks, connected, discard, in_bitmap, materialise, trim
 
 #: Times that a shingle is among the first of documents to come last, shingles that come last at most, and centres of a bucket.
 FREQUENT, HOT, CENTRES = 32, 1 << 18, 2
@@ -79,11 +80,33 @@ def frequent(docs: DataFrame, text: str, words: int, least: float) -> Broadcast:
     return docs.sparkSession.sparkContext.broadcast(np.sort(hot.column(0).to_numpy().view(np.uint64)))
 
 
-SETS = "doc_id long, h long, k long, k2 long, n int, fp long, keys array<long>"
+def parities(s: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """For each set a bitmap of the least power of two of bits that is 64 or more and its size or more: whether an odd number of its hashes
+    fall on a bit. Sets that differ in d hashes differ in d bits at most, also once the longer bitmap is folded."""
+    bits = 1 << np.ceil(np.log2(np.maximum(n, 64))).astype(np.int64)
+    first = np.cumsum(bits) - bits
+    at = (s & np.repeat(bits - 1, n).astype(np.uint64)).astype(np.int64) + np.repeat(first, n)
+    packed = np.packbits((np.bincount(at, minlength=int(bits.sum())) & 1).astype(bool), bitorder="little").tobytes()
+    return [packed[a : a + b] for a, b in zip((first >> 3).tolist(), (bits >> 3).tolist())]
+
+
+def apart(x: bytes, y: bytes) -> int:
+    """How many hashes two sets differ in at least, by their parities."""
+    if len(x) < len(y):
+        x, y = y, x
+    a, bits = int.from_bytes(x, "little"), 8 * len(x)
+    while bits > 8 * len(y):
+        bits >>= 1
+        a = a >> bits ^ a & (1 << bits) - 1
+    return (a ^ int.from_bytes(y, "little")).bit_count()
+
+
+SETS = "doc_id long, h long, k long, k2 long, n int, fp long, parity binary, keys array<long>"
 
 
 def sets(docs: DataFrame, text: str, id_col: str, words: int, least: float) -> DataFrame:
-    """One row for each row of docs: h is the text's hash, k and k2 the halves of the hash of its set of n shingles, fp its SimHash, keys the prefix."""
+    """One row for each row of docs: h is the text's hash, k and k2 the halves of the hash of its set of n shingles, fp its SimHash, parity its
+    bitmap of `parities`, keys the prefix."""
     last = frequent(docs, text, words, least)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,7 +119,7 @@ def sets(docs: DataFrame, text: str, id_col: str, words: int, least: float) -> D
                 k = named(s, n)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(m))), pa.int32()), pa.array(keys.view(np.int64)))
                 own = batch.slice(at, len(texts))
-                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array(n.astype(np.int32)), pa.array(fp), lists], names=["doc_id", "h", "k", "k2", "n", "fp", "keys"])
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array(n.astype(np.int32)), pa.array(fp), pa.array(parities(s, n), pa.binary()), lists], names=["doc_id", "h", "k", "k2", "n", "fp", "parity", "keys"])
         trim()
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), F.col(text).alias("t"))
@@ -132,8 +155,25 @@ def whole_sets(wanted: DataFrame, docs: DataFrame, text: str, words: int) -> Dat
     return materialise(found.join(wanted, ["k", "k2"]).select("u", "s"), "near-sets")
 
 
+def possible(pairs: DataFrame, own: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) of sets that their parities don't prove to be less similar: sets of m and n shingles that are similar enough differ in
+    at most (m + n) (1 - least) / (1 + least)."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p in batches:
+            most = (p.column(2).to_numpy().astype(np.int64) + p.column(3).to_numpy()) * (1 - least) / (1 + least) + 1e-6
+            differ = np.fromiter(map(apart, p.column(4).to_pylist(), p.column(5).to_pylist()), np.int64, len(p))
+            yield p.select(["a", "b"]).filter(pa.array(differ <= most))
+        trim()
+
+    side = lambda c: own.select(F.col("u").alias(c), F.col("n").alias(f"n{c}"), F.col("parity").alias(f"p{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "pa", "pb")
+    return materialise(both.mapInArrow(each, "a long, b long"), "near-possible")
+
+
 def verified(pairs: DataFrame, own: DataFrame, docs: DataFrame, text: str, words: int, least: float) -> DataFrame:
     """The pairs (a, b) of sets that have the similarity."""
+    pairs = possible(pairs, own, least)
     ends = pairs.select(F.col("a").alias("u")).unionByName(pairs.select(F.col("b").alias("u"))).distinct()
     wanted = materialise(own.select("u", "k", "k2").join(ends, "u", "left_semi"), "near-wanted")
     met = whole_sets(wanted, docs, text, words)
@@ -158,12 +198,18 @@ def members(docs: DataFrame, proposed, text: str, id_col: str, words: int, least
 
     proposed gets the distinct sets (u, fp and more) and gives pairs (a, b) of them that are compared first.
     """
-    rows = materialise(sets(docs, text, id_col, words, least), "near")
-    own = rows.groupBy("k", "k2").agg(*[F.first(c).alias(c) for c in ("n", "fp", "keys")]).withColumn("u", F.monotonically_increasing_id())
-    own = materialise(own, "near-own")
+    wide: list[str] = []
+    keys: list[str] = []
+    rows = materialise(sets(docs, text, id_col, words, least), "near", wide)
+    own = rows.groupBy("k", "k2").agg(*[F.first(c).alias(c) for c in ("n", "fp", "parity", "keys")]).withColumn("u", F.monotonically_increasing_id())
+    own = materialise(own, "near-keys", keys)
+    rows = materialise(rows.select("doc_id", "h", "k", "k2"), "near-rows")
+    discard(docs.sparkSession, wide)
     keyed = own.select("u", "n", F.explode("keys").alias("key")).repartition("key")  # dealt once, for the sums and the join
     shared = keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
     met = materialise(keyed.join(shared.hint("shuffle_hash"), "key", "left_semi"), "near-met")
+    own = materialise(own.select("u", "k", "k2", "n", "fp", "parity"), "near-own")
+    discard(docs.sparkSession, keys)  # nothing that follows reads the prefixes
     like = lambda n, o: F.lit(least) * F.greatest(n, o) - 1e-9 <= F.least(n, o)
     centres = met.groupBy("key").agg(F.array_distinct(F.array(*[F.min(F.struct(F.xxhash64("u", F.lit(i)), "u", "n")) for i in range(CENTRES)])).alias("centres"))
     near = F.transform(F.filter("centres", lambda c: (c["u"] != F.col("u")) & like(F.col("n"), c["n"])), lambda c: c["u"])
@@ -180,4 +226,4 @@ def members(docs: DataFrame, proposed, text: str, id_col: str, words: int, least
     rest = materialise(rest.join(first, ["a", "b"], "left_anti"), "near-rest")  # others are compared already
     roots = materialise(connected(linked.unionByName(verified(rest, own, docs, text, words, least))), "near-roots")
     of = materialise(own.join(roots, own.u == roots.node, "left").select("k", "k2", F.coalesce("root", "u").alias("root")), "near-of")
-    return rows.select("doc_id", "h", "k", "k2").join(of, ["k", "k2"]).select("doc_id", "h", "root")
+    return rows.join(of, ["k", "k2"]).select("doc_id", "h", "root")

@@ -472,6 +472,26 @@ def test_lines_against_all_pairs(spark, docs):
     assert sum("zebra" in t or "quartz" in t or "lemon" in t for i, t in got.items() if i >= 10_000) < 40
 
 
+def test_many_edit_distances_at_once():
+    rng = random.Random(15)
+    pairs = [("", ""), ("abc def", "xyz qqq"), ("a" * 5000, "b" * 5000), ("\ud800 a b c", "é日 a b c"), ("a b " * 900, "a c " * 900)]
+    for _ in range(400):
+        a = [rng.choice("abcde é日") for _ in range(rng.choice((1, 2, 5, 20, 60, 300)))]
+        b = [c if rng.random() > 0.12 else rng.choice(["", "x", c + "y"]) for c in a]
+        pairs.append(("".join(a), "".join(b)))
+    want = [distance(a, b) <= 0.2 * max(len(a), len(b)) + 1e-9 if len(a) < 400 else op08_lines.similar(a, b, 0.8) for a, b in pairs]
+    assert 50 < sum(want) < 390 and op08_lines.alike(pairs, 0.8).tolist() == want
+
+
+def test_open_pairs_are_made_once(spark):
+    """Under several common keys a pair is one row, also where only a later key's place lets it be compared."""
+    half = op08_lines.PARTS // 2
+    lines = {1: [(5, 0), (6, half), (7, 9)], 2: [(5, 0), (6, half), (7, 9)], 3: [(5, half), (6, half)], 4: [(5, half), (8, 0)]}
+    of = [(k, u, u, [(*r,) for r in runs], 0, 0, 100, p) for u, runs in lines.items() for k, p in runs]
+    df = spark.createDataFrame(of, "key long, u long, root long, runs array<struct<key: long, place: int>>, sim long, more long, chars int, place int")
+    assert sorted((r.a, r.b) for r in op08_lines.open_pairs(df, 0.8).collect()) == [(1, 2), (1, 3), (2, 3), (3, 4)]
+
+
 def test_line_edges(edge, empty):
     got = op08_lines.dedup_lines(edge)
     assert got.columns == [c for c in edge.columns if c != "n_removed"] + ["n_removed"]

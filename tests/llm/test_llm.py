@@ -691,3 +691,28 @@ def test_passes_are_permutations(spark):
     for v in whole:  # blocks stay together
         blocks = [plan[i].block for i in v]
         assert sum(a != b for a, b in zip(blocks, blocks[1:])) == len(set(blocks)) - 1
+
+
+def test_bpe_words_many_at_once(ranks, monkeypatch):
+    """Merging many words at once gives the ids of merging each by itself; what is kept is bounded by KEPT_WORDS, and by none once other tasks have run."""
+    rng = random.Random(7)
+    words = [bytes(rng.choice(b" aehilnorst\xc3\xa9\x00") for _ in range(rng.randint(1, 110))) for _ in range(3000)] + [b"a", b" the", b"\xff"]
+    pairs = op07_bpe.pair_table(ranks)
+    want = [np.array(op07_bpe.merge(w, ranks), "<i4").tobytes() for w in words]
+    assert op07_bpe.merge_all(words, ranks, pairs) == want == op07_bpe.merge_all(words, ranks, None)
+    assert op07_bpe.merge_all([], ranks, pairs) == []
+    same = {bytes([i]): i for i in range(256)} | {b"ab": 7}  # two pieces of one id: no table of pairs
+    assert op07_bpe.pair_table(same) is None and op07_bpe.merge_all([b"abc"], same, None) == [np.array([7, 99], "<i4").tobytes()]
+
+    monkeypatch.setattr(op07_bpe, "KEPT_WORDS", 60)
+    known = common.kept("one", lambda: op07_bpe.Words(ranks, {"the": b"\x01\x00\x00\x00"}, pairs))
+    for at in range(0, 500, 10):
+        found = [known[f"w{i}"] for i in range(at, at + 10)]
+        known.fold()
+        assert [bytes(x) for x in found] == [np.array(op07_bpe.merge(f"w{i}".encode(), ranks), "<i4").tobytes() for i in range(at, at + 10)]
+        assert known["the"] == b"\x01\x00\x00\x00" and len(known) + len(known.new) < 60
+    common.trim("one")
+    assert common.kept("one", dict) is known
+    common.trim()
+    assert common.kept("one", dict) == {}
+    common.trim()

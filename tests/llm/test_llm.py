@@ -716,3 +716,23 @@ def test_bpe_words_many_at_once(ranks, monkeypatch):
     common.trim()
     assert common.kept("one", dict) == {}
     common.trim()
+
+
+def test_top_k_dense_blocks_are_products_of_matrices(monkeypatch):
+    """Where many pairs survive, they aren't scored one by one; scores are those of brute force, also where doubles can't hold them."""
+    rng, alone = np.random.default_rng(5), []
+    exact = op03_topk.exact
+    monkeypatch.setattr(op03_topk, "exact", lambda a, *rest: alone.append(len(a)) or exact(a, *rest))
+    for scale in (1.0, 2.0**30):
+        alone.clear()
+        raw, ids = rng.normal(size=(1500, 24)) * scale, np.arange(1500)
+        best = op03_topk.Best(np.arange(300), ids[:300], raw[:300], 10)
+        for a in range(0, 1500, 500):
+            best.offer(ids[a : a + 500], raw[a : a + 500])
+        x = [[int(c) for c in row] for row in np.floor(1024 * raw)]
+        got = best.rows()
+        for q in range(0, 300, 37):
+            want = sorted((-sum(map(int.__mul__, x[q], y)), i) for i, y in enumerate(x) if i != q)[:10]
+            mine = got[got.query_id == q]
+            assert [(-s, i) for s, i in zip(mine.score.tolist(), mine.vec_id.tolist())] == [(max(s, 1 - 2**63), i) for s, i in want]
+        assert (sum(alone) < 20_000) == (scale == 1)

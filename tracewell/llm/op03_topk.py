@@ -24,6 +24,8 @@ from .common import materialise, scratch, table
 SCALE, TOP, QUERY_BYTES = 1024, 10, 32 << 20
 #: Numbers of segments, coarse to fine; those over a vector's length aren't used.
 LEVELS = (1, 4, 16)
+#: From one pair in so many on, a block's bounds or scores are one product of matrices, which costs less than pair by pair.
+DENSE = 64
 #: Components from here on have no bounds; a number above any score.
 HUGE, WIDEST = 2.0**400, 1 << 2300
 
@@ -70,6 +72,12 @@ def exact(a: np.ndarray, b: np.ndarray, raw_a: np.ndarray, raw_b: np.ndarray) ->
     return out
 
 
+def _fits(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether doubles hold all inner products of whole rows exactly, whatever the order of their sums."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        return bool(np.abs(a).max(initial=0) * np.abs(b).max(initial=0) * a.shape[1] < 2.0**53)
+
+
 def first(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Which are the k largest scores, ties by the smaller id."""
     if scores.dtype == object:
@@ -106,21 +114,22 @@ class Best:
         stats, sizes = self._bounds(x)
         for at in range(0, len(self.ids), 256):
             rows = slice(at, min(at + 256, len(self.ids)))
-            least = self.least[rows, None]
-            bound = self.stats[0][rows] @ stats[0].T
-            q, c = np.nonzero(bound + self._slack(self.norms[rows, None], sizes[None, :]) >= least)
+            limit = self.least[rows, None] - self._slack(self.norms[rows, None], sizes[None, :])
+            q, c = np.nonzero(self.stats[0][rows] @ stats[0].T >= limit)
             for level in range(1, len(stats)):
-                ok = []
-                for a in range(0, len(q), 200_000):  # bounded memory
-                    i, j = q[a : a + 200_000], c[a : a + 200_000]
-                    b = np.einsum("ij,ij->i", self.stats[level][at + i], stats[level][j])
-                    ok.append(b + self._slack(self.norms[at + i], sizes[j]) >= least[i, 0])
-                keep = np.concatenate([*ok, np.empty(0, bool)])
+                if len(q) * DENSE >= limit.size:
+                    keep = (self.stats[level][rows] @ stats[level].T)[q, c] >= limit[q, c]
+                else:
+                    parts = [(q[a : a + 200_000], c[a : a + 200_000]) for a in range(0, len(q), 200_000)]  # bounded memory
+                    keep = np.concatenate([*(np.einsum("ij,ij->i", self.stats[level][at + i], stats[level][j]) >= limit[i, j] for i, j in parts), np.empty(0, bool)])
                 q, c = q[keep], c[keep]
             keep = self.ids[at + q] != ids[c]
             q, c = q[keep], c[keep]
-            parts = [(at + q[a : a + 100_000], c[a : a + 100_000]) for a in range(0, len(q), 100_000)]
-            score = np.concatenate([*(exact(self.x[i], x[j], self.raw[i], raw[j]) for i, j in parts), np.empty(0, np.int64)])
+            if len(q) * DENSE >= limit.size and _fits(self.x[rows], x):
+                score = (self.x[rows] @ x.T)[q, c].astype(np.int64)
+            else:
+                parts = [(at + q[a : a + 100_000], c[a : a + 100_000]) for a in range(0, len(q), 100_000)]
+                score = np.concatenate([*(exact(self.x[i], x[j], self.raw[i], raw[j]) for i, j in parts), np.empty(0, np.int64)])
             cuts = np.searchsorted(q, np.arange(rows.stop - at + 1))
             for i in np.flatnonzero(np.diff(cuts)):
                 part = slice(cuts[i], cuts[i + 1])

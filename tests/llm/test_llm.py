@@ -736,3 +736,11 @@ def test_top_k_dense_blocks_are_products_of_matrices(monkeypatch):
             mine = got[got.query_id == q]
             assert [(-s, i) for s, i in zip(mine.score.tolist(), mine.vec_id.tolist())] == [(max(s, 1 - 2**63), i) for s, i in want]
         assert (sum(alone) < 20_000) == (scale == 1)
+
+
+def test_bpe_counts_words_in_bounded_rows(edge, ranks, monkeypatch):
+    """Ids are the library's whichever words were counted."""
+    monkeypatch.setattr(op07_bpe, "COUNTED_ROWS", 3)
+    enc = encoding(ranks)
+    got = op07_bpe.encode(edge, ranks, public_tokenizers.PATTERN, keep=("text",)).collect()
+    assert len(got) == 12 and all(r.ids == enc.encode_ordinary(r.text or "") for r in got)

@@ -744,3 +744,13 @@ def test_bpe_counts_words_in_bounded_rows(edge, ranks, monkeypatch):
     enc = encoding(ranks)
     got = op07_bpe.encode(edge, ranks, public_tokenizers.PATTERN, keep=("text",)).collect()
     assert len(got) == 12 and all(r.ids == enc.encode_ordinary(r.text or "") for r in got)
+
+
+def test_parts_are_looked_up_once():
+    """A new part is listed once however often a text has it, and the ids that it gets are where it was looked up; older ones come back."""
+    parts = op06_tokenfile.Parts()
+    parts.older["old"] = b"\x05\x00\x00\x00"
+    found = list(map(parts.__getitem__, ["a", "old", "b", "a"]))
+    assert list(parts.new) == ["a", "b"] and found[0] is found[3] and found[1] == b"\x05\x00\x00\x00" == parts["old"]
+    parts.new["a"] += b"\x01\x00\x00\x00"
+    assert b"".join(found) == b"\x01\x00\x00\x00\x05\x00\x00\x00\x01\x00\x00\x00"

@@ -127,6 +127,22 @@ def separable(spec: dict) -> bool:
     )
 
 
+class Parts(dict):
+    """Ids (as bytes) by part. A part that is in neither generation is an empty bytearray, listed in `new`, until it is encoded."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.older: dict[str, bytes] = {}
+        self.new: dict[str, bytearray] = {}
+
+    def __missing__(self, part: str) -> bytes | bytearray:
+        ids = self.older.get(part)
+        if ids is None:
+            ids = self.new[part] = bytearray()
+        self[part] = ids
+        return ids
+
+
 @lru_cache(maxsize=2)
 def encoder(spec_json: str) -> Callable[[list[str | None]], list[np.ndarray]]:
     """A function from texts to their ids by the tokenizers library, without special tokens added; a worker keeps it between tasks.
@@ -148,8 +164,8 @@ def encoder(spec_json: str) -> Callable[[list[str | None]], list[np.ndarray]]:
     ends = np.zeros(tokenizer.get_vocab_size() + len(marks), bool)
     ends[[i for word, i in spec["model"]["vocab"].items() if suffix and word.endswith(suffix)]] = True
     find, single_word = LATIN.findall, LETTERS.fullmatch
-    known: dict[str, bytes] = {}
-    older: dict[str, bytes] = {}
+    known = Parts()
+    look = known.__getitem__
 
     def encode_parts(parts: list[str]) -> None:
         """Parts joined by an added token are encoded at once and its id parts them again; one by one where a part holds it itself."""
@@ -179,23 +195,17 @@ def encoder(spec_json: str) -> Callable[[list[str | None]], list[np.ndarray]]:
         return text.replace("\n", " ").split(" ")
 
     def encode(texts: list[str | None]) -> list[np.ndarray]:
-        nonlocal older
-        split = [parts_of(t or "") for t in texts]
-        found = [list(map(known.get, parts)) for parts in split]
-        gaps = [[i for i, ids in enumerate(f) if ids is None] if None in f else [] for f in found]
-        if missing := {parts[i] for parts, gap in zip(split, gaps) for i in gap}:
-            if len(known) > KEPT_WORDS:
-                older = dict(known)
-                known.clear()
-            new = [p for p in missing if p not in older]
-            known.update((p, older[p]) for p in missing.difference(new))
-            if single := [p for p in new if single_word(p)]:
-                encode_plain(single)
-            if rest := [p for p in new if p not in known]:
-                encode_parts(rest)
-            for parts, f, gap in zip(split, found, gaps):
-                for i in gap:
-                    f[i] = known[parts[i]]
+        found = [list(map(look, parts_of(t or ""))) for t in texts]
+        new, known.new = known.new, {}
+        if single := [p for p in new if single_word(p)]:
+            encode_plain(single)
+        if rest := [p for p in new if not single_word(p)]:
+            encode_parts(rest)
+        for part, ids in new.items():
+            ids += known[part]
+        if len(known) > KEPT_WORDS:
+            known.older = dict(known)
+            known.clear()
         return [np.frombuffer(b"".join(f), "<u4") for f in found]
 
     return encode

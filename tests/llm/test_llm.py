@@ -754,3 +754,33 @@ def test_parts_are_looked_up_once():
     assert list(parts.new) == ["a", "b"] and found[0] is found[3] and found[1] == b"\x05\x00\x00\x00" == parts["old"]
     parts.new["a"] += b"\x01\x00\x00\x00"
     assert b"".join(found) == b"\x01\x00\x00\x00\x05\x00\x00\x00\x01\x00\x00\x00"
+
+
+def test_driver_gives_native_memory_back(spark, monkeypatch):
+    """At the end of each scratch the driver's JVM is told to, and answers."""
+    assert "Trim native heap" in common.trim_driver(spark)
+    told = []
+    monkeypatch.setattr(common, "trim_driver", told.append)
+    with common.scratch(spark):
+        assert not told
+    assert told == [spark]
+
+
+def test_frequent_words_are_folded_once(spark, ranks, monkeypatch):
+    """Only the words that are kept are folded, not those of every task below the limit."""
+    folded = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<int>")
+    def fold(word):
+        folded.add(1)
+        return [len(word)]
+
+    monkeypatch.setattr(op07_bpe, "fold_merges", lambda word, _: fold(word))
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesce, "false")
+    try:
+        docs = spark.createDataFrame([(" ".join(f"w{'x' * i}" for i in range(60)),)] * 4, "text string").repartition(4)
+        found = op07_bpe.frequent_words(docs, "text", ranks, public_tokenizers.PATTERN, most=5)
+    finally:
+        spark.conf.unset(coalesce)
+    assert len(found) == 5 == folded.value

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -784,3 +785,27 @@ def test_frequent_words_are_folded_once(spark, ranks, monkeypatch):
     finally:
         spark.conf.unset(coalesce)
     assert len(found) == 5 == folded.value
+
+
+def test_wide_lines_go_before_lines_meet(spark, monkeypatch, tmp_path):
+    """The table of all lines with their keys is off the disk when the keys are exploded, and that of distinct lines when pairs are made."""
+    there, seen = lambda tag: [p.name for p in tmp_path.iterdir() if re.fullmatch(tag + "-[0-9a-f]{32}", p.name)], []
+    monkeypatch.setattr(common, "shared_dir", lambda spark: str(tmp_path))
+    meetings, stars = op08_lines.meetings, op08_lines.stars
+    monkeypatch.setattr(op08_lines, "meetings", lambda *a: seen.append((len(there("lines")), len(there("lines-distinct")))) or meetings(*a))
+    monkeypatch.setattr(op08_lines, "stars", lambda *a: seen.append((len(there("lines")), len(there("lines-distinct")))) or stars(*a))
+    docs = spark.createDataFrame([(1, LINE), (2, LINE + "\nother"), (3, LINE.replace("four", "fore"))], "doc_id long, text string")
+    assert sorted(r.n_removed for r in op08_lines.dedup_lines(docs).collect()) == [0, 1, 1]
+    assert seen == [(0, 1), (0, 0)]
+
+
+def test_edit_distances_are_bit_parallel():
+    """A column of a pair costs words of 64 rows and not cells of its band: here 600 pairs of 1,000 characters, each a third of them changed."""
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("abcdefghij ", k=1000)) for _ in range(600)]
+    own = [(t, "".join(c if rng.random() > 0.35 else "z" for c in t), 400) for t in texts]
+    began = time.process_time()
+    found = op08_lines.distances(own)
+    assert time.process_time() - began < 1.5
+    for i in range(0, 600, 300):
+        assert found[i] == distance(*own[i][:2])

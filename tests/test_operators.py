@@ -1,5 +1,8 @@
 """Edge semantics of the operators on small fixtures."""
 
+import collections
+import random
+import re
 import zlib
 
 import pytest
@@ -285,6 +288,47 @@ def test_templates(spark):
     assert got == {"open block <*> at <*>": 6, "close all": 1}
 
 
+def drained(lines, similarity):
+    """Occurrences by template, by Drain in plain Python: lines by number of tokens and the first two of them, each distinct one once, in order."""
+    groups = {}
+    for text, n in collections.Counter(lines).items():
+        tokens = text.split(" ")
+        known = groups.setdefault((len(tokens), *("<*>" if re.search(r"\d", t) else t for t in tokens[:2])), [])
+        best, score = None, (-1, -1)
+        for t in known:
+            now = sum(a == b for a, b in zip(t[0], tokens)) / len(tokens), t[0].count("<*>")
+            if now > score:
+                best, score = t, now
+        if best and score[0] >= similarity:
+            best[0], best[1] = [a if a == b else "<*>" for a, b in zip(best[0], tokens)], best[1] + n
+        else:
+            known.append([tokens, n])
+    out = collections.Counter()
+    for t, n in (x for known in groups.values() for x in known):
+        out[" ".join(t)] += n
+    return out
+
+
+@pytest.mark.parametrize("similarity", [0.3, 0.5, 0.75])
+def test_templates_of_large_groups(spark, monkeypatch, similarity):
+    """Groups that are cut into runs have the templates of one pass, also where late lines alter them, beside groups that aren't cut."""
+    monkeypatch.setattr(drain, "LARGE", 4000)
+    draw = random.Random(7)
+    words = lambda i: [draw.choice("abcde" if k > 3 or i < 300 else "fghij") for k in range(6)]
+    lines = [" ".join(["go", f"n{i}", *words(i)]) for i in range(400)] + ["go <*> a b c d e <*>"] * 3 + [f"stop {draw.choice('xyz')} all" for _ in range(150)] + ["one more"] * 2
+    df = spark.createDataFrame(list(enumerate(lines)), "n int, line string").repartition(7)
+    got = {r.template: r.occurrences for r in drain.templates(df, "line", "n", similarity, 4).collect()}
+    assert got == drained(lines, similarity)
+
+
+def test_large_group_is_not_one_call(spark):
+    """Lines of one group, of over 32 MB, aren't handed to one call of a worker."""
+    df = spark.range(400_000).select("id", F.format_string("user %s of %s left", F.col("id").cast("string"), (F.col("id") % 7).cast("string")).alias("line"))
+    found = drain.templates(df, "line", "id", 0.5, 4)
+    assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [(r.template, r.occurrences) for r in found.collect()] == [("user <*> of <*> left", 400_000)]
+
+
 def test_call_facts(spark, tmp_path):
     (tmp_path / "calls.txt").write_text("1\t1\ta:f()\t(VIR)b:g()\t12\tvoid\n\nshort\t1\nx\t1\tq\tr\t \tint\n")
     rows = readers.call_facts(spark, str(tmp_path)).collect()
